@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, exact_dedup, token_count
+from . import byte_bpe, chat_format, exact_dedup, golay_simhash, language_id, token_count
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op5_byte_bpe": byte_bpe.op5_query,
         "op6_exact_dedup": exact_dedup.op6_query,
         "op8_token_count": token_count.op8_query,
+        "op9_golay_simhash": golay_simhash.op9_query,
+        "op10_language_id": language_id.op10_query,
     }
 
 
