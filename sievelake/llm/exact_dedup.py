@@ -39,14 +39,19 @@ def sha256_binary(text: Column) -> Column:
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """Keep streaming state in RocksDB while the block runs."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    """Keep streaming state in RocksDB while the block runs, without space set aside on disk for each partition."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def located(docs: DataFrame) -> DataFrame:
