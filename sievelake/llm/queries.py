@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, exact_dedup, golay_simhash, language_id, token_count
+from . import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    golay_simhash,
+    language_id,
+    sentence_spans,
+    token_count,
+)
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_query,
+        "op3_sentence_spans": sentence_spans.op3_query,
         "op4_chat_format": chat_format.op4_query,
         "op5_byte_bpe": byte_bpe.op5_query,
         "op6_exact_dedup": exact_dedup.op6_query,
