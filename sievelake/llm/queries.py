@@ -11,6 +11,7 @@ from . import (
     language_id,
     sentence_spans,
     token_count,
+    toxicity,
 )
 
 
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_chat_format": chat_format.op4_query,
         "op5_byte_bpe": byte_bpe.op5_query,
         "op6_exact_dedup": exact_dedup.op6_query,
+        "op7_toxicity": toxicity.op7_query,
         "op8_token_count": token_count.op8_query,
         "op9_golay_simhash": golay_simhash.op9_query,
         "op10_language_id": language_id.op10_query,
