@@ -10,6 +10,7 @@ from . import (
     golay_simhash,
     language_id,
     sentence_spans,
+    site_tree,
     token_count,
     toxicity,
 )
@@ -18,6 +19,7 @@ from . import (
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_query,
+        "op2_site_tree": site_tree.op2_query,
         "op3_sentence_spans": sentence_spans.op3_query,
         "op4_chat_format": chat_format.op4_query,
         "op5_byte_bpe": byte_bpe.op5_query,
