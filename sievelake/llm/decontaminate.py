@@ -23,6 +23,7 @@ are matched each on its own.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -197,7 +198,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,11 +209,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for block in blocks(benchmark):
         shipped = spark.sparkContext.broadcast(block)
 
-        def run(batches, shipped=shipped):
-            if shipped.id not in _matchers:
+        def run(batches, shipped=shipped, key=uuid.uuid4().hex):
+            if key not in _matchers:
                 _matchers.clear()
-                _matchers[shipped.id] = Matcher(shipped.value)
-            matcher = _matchers[shipped.id]
+                _matchers[key] = Matcher(shipped.value)
+            matcher = _matchers[key]
             for batch in batches:
                 for part in chunks(batch, "text"):
                     out = [
