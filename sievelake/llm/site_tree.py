@@ -30,9 +30,8 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import chunks, written
 
@@ -98,6 +97,16 @@ def prior(tag: str, names: dict[str, str], in_main: bool) -> int:
     return CENTRAL if tag in MAIN else NEUTRAL
 
 
+_closing: dict[str, re.Pattern] = {}
+
+
+def closing(tag: str) -> re.Pattern:
+    """Finds the end tag of an element; only for the few elements whose content is skipped or taken raw."""
+    if tag not in _closing:
+        _closing[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+    return _closing[tag]
+
+
 class Page:
     """Blocks of a page in order: (node, text, noisy, in the main content, nodes of the ancestors)."""
 
@@ -119,13 +128,17 @@ class Page:
             tag = tag.lower()
             if m[1] or m[4]:
                 self.end(tag)
+            elif tag in HIDDEN:
+                # skipped as a whole, so that a block goes on after it; unclosed, a script or style lasts to the end
+                close = closing(tag).search(source, at)
+                if close or tag in RAW:
+                    at = close.end() if close else len(source)
             else:
                 self.start(tag, m[3] or m[6] or "")
                 if tag in RAW:
-                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
-                    if tag not in HIDDEN:
-                        self.characters(source[at : close.start()])
-                    at = close.end()
+                    close = closing(tag).search(source, at)
+                    self.characters(source[at : close.start() if close else len(source)])
+                    at = close.end() if close else len(source)
                     self.end(tag)
         if at < len(source):
             self.characters(source[at:])
@@ -189,9 +202,10 @@ class Page:
             self.flush()
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def host_of(url: Column) -> Column:
+    """The host of an absolute url, lower-cased; '' where there is none."""
+    found = F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.lower(F.coalesce(found, F.lit("")))
 
 
 def nodes_of(chain: tuple | None) -> list[int]:
@@ -207,6 +221,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+        host_of(F.col("url").cast("string")).alias("host"),
     )
 
 
@@ -218,13 +233,13 @@ def node_blocks(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "html"):
                 hosts, nodes, hashes = [], [], []
-                for url, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for source, host in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     seen = set()
                     for node, text, noisy, _, _ in Page(source).blocks:
                         if not noisy:
                             seen.add((node, xxhash.xxh64_intdigest(text.encode()) >> 1 | 1))
                             seen.add((node, 0))
-                    hosts += [host_of(url)] * len(seen)
+                    hosts += [host] * len(seen)
                     nodes += [n for n, _ in seen]
                     hashes += [h for _, h in seen]
                 columns = [pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(hashes, pa.int64())]
@@ -267,15 +282,14 @@ def extract(pages: DataFrame) -> DataFrame:
     # Both are nodes of the tree with at least LEAST_PAGES pages: templates, not pages. Their number is checked.
     n_low, n_kept = low.count(), kept.count()
     per_host = kept.groupBy("host").agg(F.collect_list("node").alias("kept"))
-    host = F.udf(host_of, T.StringType())
     if n_low > BROADCAST_ROWS:
         raise ValueError(f"{n_low} nodes of low importance in all; raise LEAST_PAGES")
     shipped = pages.sparkSession.sparkContext.broadcast(frozenset(r.node for r in low.toLocalIterator()))
     if n_kept:
         per_host = F.broadcast(per_host) if n_kept <= BROADCAST_ROWS else per_host
-        rows = rows.withColumn("host", host("url")).join(per_host, "host", "left").select("page_id", "url", "html", "kept")
+        rows = rows.join(per_host, "host", "left").select("page_id", "url", "html", "kept")
     else:
-        rows = rows.withColumn("kept", F.lit(None).cast("array<bigint>"))
+        rows = rows.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("kept"))
 
     def run(batches):
         remove = shipped.value
