@@ -13,10 +13,19 @@ from ..sources.tables import table
 from .inputs import BUDGETS, COSTS_SQL, HITS_SQL, TOPK, hits, tasks
 
 
+#: Added to a mean before rounding, here and in the SQL, so that sums in another order don't tip an exact tie.
+NUDGE = 3e-11
+
+
 def r9(column: str):
     return F.round(column, 9).alias(column)
 
 
+def m9(column):
+    """A mean, rounded to nine digits."""
+    return F.round(column + F.lit(NUDGE), 9)
+
+
 def costs(spark: SparkSession, d: str) -> DataFrame:
     """Token cost of each task's context for each k, from one search."""
     kinds = tasks(spark, d).select("task_id", "task_type")
@@ -98,22 +107,22 @@ def budget_simulation(spark, d):
 
 def budget_bins(spark, d):
     out = S.bin_means(budget(spark, d), "deviation_ratio", "success_prob", -1.0, 0.1, 24)
-    return out.select("bin", r9("mean"), "n")
+    return out.select("bin", m9(F.col("mean")).alias("mean"), "n")
 
 
 def budget_centers(spark, d):
     out = S.center_means(budget(spark, d), "utilization", "success_prob", ["budget"], 0.0, 0.05, 39)
-    return out.select("budget", "center", r9("mean"), "n")
+    return out.select("budget", "center", m9(F.col("mean")).alias("mean"), "n")
 
 
 def deviation_centers(spark, d):
     out = S.center_means(budget(spark, d), "deviation_ratio", "success_prob", ["budget"], -1.0, 0.05, 49)
-    return out.select("budget", "center", r9("mean"), "n")
+    return out.select("budget", "center", m9(F.col("mean")).alias("mean"), "n")
 
 
 def budget_pivot(spark, d):
     means = budget(spark, d).groupBy("budget", "topk").agg(F.avg("success_prob").alias("m"))
-    return S.pivot(means, "budget", "topk", TOPK, F.round(F.first("m"), 9))
+    return S.pivot(means, "budget", "topk", TOPK, m9(F.first("m")))
 
 
 def gold_pairs(spark, d):
@@ -145,14 +154,14 @@ def retrieval_quality(spark, d):
 
 def quality_by_topk(spark, d):
     return quality(spark, d).groupBy("topk").agg(
-        *[F.round(F.avg(c), 9).alias(c) for c in ("recall", "precision", "f1", "success")],
+        *[m9(F.avg(c)).alias(c) for c in ("recall", "precision", "f1", "success")],
         F.round(F.stddev_samp("recall"), 9).alias("recall_std"),
     )
 
 
 def quality_pivot(spark, d):
     means = quality(spark, d).groupBy("task_type", "topk").agg(F.avg("recall").alias("m"))
-    return S.pivot(means, "task_type", "topk", TOPK, F.round(F.first("m"), 9))
+    return S.pivot(means, "task_type", "topk", TOPK, m9(F.first("m")))
 
 
 def recall_density(spark, d):
@@ -161,7 +170,7 @@ def recall_density(spark, d):
 
 def recall_centers(spark, d):
     out = S.center_means(quality(spark, d), "recall", "success", ["topk"], 0.0, 0.05, 21)
-    return out.select("topk", "center", r9("mean"), "n")
+    return out.select("topk", "center", m9(F.col("mean")).alias("mean"), "n")
 
 
 def similarity_recall(spark, d):
@@ -201,7 +210,7 @@ def adaptive_by_class(spark, d):
         comparison(spark, d), "hardness_class", ["easy", "hard"],
         {"adaptive_cost": "adaptive_cost", "naive_cost": "naive_cost", "adaptive_success": "adaptive_success", "naive_success": "naive_success"},
     )
-    return out.select("hardness_class", "n", *[r9(c) for c in ("adaptive_cost", "naive_cost", "adaptive_success", "naive_success")])
+    return out.select("hardness_class", "n", *[m9(F.col(c)).alias(c) for c in ("adaptive_cost", "naive_cost", "adaptive_success", "naive_success")])
 
 
 def savings_histogram(spark, d):
@@ -338,7 +347,7 @@ def _bins(low: float, width: float, n: int, name: str = "bins") -> str:
 
 def _centers(base: str, table_: str, value: str, target: str, by: str, low: float, width: float, n: int) -> str:
     return (
-        f"WITH {base}, {_bins(low, width, n)} SELECT {by}, round({low} + (bin + 0.5) * {width}, 6) AS center, round(avg({target}), 9) AS mean, count(*) AS n "
+        f"WITH {base}, {_bins(low, width, n)} SELECT {by}, round({low} + (bin + 0.5) * {width}, 6) AS center, round(avg({target}) + 3e-11, 9) AS mean, count(*) AS n "
         f"FROM {table_} JOIN bins ON {value} > lo AND {value} <= hi GROUP BY {by}, bin HAVING count(*) >= 3"
     )
 
@@ -371,11 +380,11 @@ SQL = {
     "q_cost_rollup": f"WITH {COSTS_SQL} SELECT task_type, topk, sum(token_cost)::BIGINT AS total, count(*) AS n FROM costs GROUP BY CUBE (task_type, topk)",
     "q_budget_simulation": f"""WITH {_BUDGET_SQL} SELECT task_id, task_type, topk, budget, left_tokens::BIGINT AS context_tokens, (left_tokens - budget)::BIGINT AS deviation,
         round(deviation_ratio, 9) AS deviation_ratio, round(utilization, 9) AS utilization, round(success_prob, 9) AS success_prob FROM budget""",
-    "q_budget_bins": f"""WITH {_BUDGET_SQL}, {_bins(-1.0, 0.1, 24)} SELECT bin::INT AS bin, round(avg(success_prob), 9) AS mean, count(success_prob) AS n
+    "q_budget_bins": f"""WITH {_BUDGET_SQL}, {_bins(-1.0, 0.1, 24)} SELECT bin::INT AS bin, round(avg(success_prob) + 3e-11, 9) AS mean, count(success_prob) AS n
         FROM bins LEFT JOIN budget ON deviation_ratio > lo AND deviation_ratio <= hi GROUP BY 1""",
     "q_budget_centers": _centers(_BUDGET_SQL, "budget", "utilization", "success_prob", "budget", 0.0, 0.05, 39),
     "q_deviation_centers": _centers(_BUDGET_SQL, "budget", "deviation_ratio", "success_prob", "budget", -1.0, 0.05, 49),
-    "q_budget_pivot": f"""WITH {_BUDGET_SQL} SELECT budget, {', '.join(f'round(avg(success_prob) FILTER (WHERE topk = {k}), 9) AS c{k}' for k in TOPK)} FROM budget GROUP BY 1""",
+    "q_budget_pivot": f"""WITH {_BUDGET_SQL} SELECT budget, {', '.join(f'round(avg(success_prob) FILTER (WHERE topk = {k}) + 3e-11, 9) AS c{k}' for k in TOPK)} FROM budget GROUP BY 1""",
     "q_gold": """WITH q AS (SELECT item_id AS task_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS a FROM benchmark),
         d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:20]) AS b FROM documents),
         p AS (SELECT task_id, doc_id, len(list_intersect(a, b)) AS overlap, len(a) + len(b) AS total FROM q CROSS JOIN d)
@@ -383,9 +392,9 @@ SQL = {
         WHERE overlap > 0 AND (overlap / (total - overlap) > 0.15 OR overlap >= 3)""",
     "q_quality": f"""WITH {_QUALITY_SQL} SELECT task_id, task_type, topk, retrieved_count, gold_count, overlap, round(recall, 9) AS recall,
         round(precision, 9) AS precision, round(f1, 9) AS f1, round(success, 9) AS success FROM quality""",
-    "q_quality_by_topk": f"""WITH {_QUALITY_SQL} SELECT topk, round(avg(recall), 9) AS recall, round(avg(precision), 9) AS precision, round(avg(f1), 9) AS f1,
-        round(avg(success), 9) AS success, round(stddev_samp(recall), 9) AS recall_std FROM quality GROUP BY 1""",
-    "q_quality_pivot": f"""WITH {_QUALITY_SQL} SELECT task_type, {', '.join(f'round(avg(recall) FILTER (WHERE topk = {k}), 9) AS c{k}' for k in TOPK)} FROM quality GROUP BY 1""",
+    "q_quality_by_topk": f"""WITH {_QUALITY_SQL} SELECT topk, round(avg(recall) + 3e-11, 9) AS recall, round(avg(precision) + 3e-11, 9) AS precision, round(avg(f1) + 3e-11, 9) AS f1,
+        round(avg(success) + 3e-11, 9) AS success, round(stddev_samp(recall), 9) AS recall_std FROM quality GROUP BY 1""",
+    "q_quality_pivot": f"""WITH {_QUALITY_SQL} SELECT task_type, {', '.join(f'round(avg(recall) FILTER (WHERE topk = {k}) + 3e-11, 9) AS c{k}' for k in TOPK)} FROM quality GROUP BY 1""",
     "q_recall_density": f"""WITH {_QUALITY_SQL}, l AS (SELECT topk, min(recall) AS lo, (max(recall) - min(recall)) / 20 AS w, count(*) AS n FROM quality GROUP BY 1),
         b AS (SELECT topk, CASE WHEN w > 0 THEN least(floor((recall - lo) / w), 19) ELSE 0 END::INT AS bin, n, w FROM quality JOIN l USING (topk))
         SELECT topk, bin, round(CASE WHEN any_value(w) > 0 THEN count(*) / (any_value(n) * any_value(w)) ELSE 0 END, 6) AS density FROM b GROUP BY topk, bin""",
@@ -397,8 +406,8 @@ SQL = {
     "q_adaptive": f"""WITH {_HARD_SQL} SELECT task_id, task_type, round(hardness, 9) AS hardness, hardness_class, strategy AS adaptive_strategy, topk AS adaptive_topk,
         adaptive_cost, adaptive_cost * multiplier::DOUBLE AS estimated_cost, round(adaptive_success, 9) AS adaptive_success, naive_cost, round(naive_success, 9) AS naive_success,
         naive_cost - adaptive_cost AS cost_savings, round(adaptive_success - naive_success, 9) AS success_improvement FROM compared""",
-    "q_adaptive_by_class": f"""WITH {_HARD_SQL} SELECT c.hardness_class, count(task_id) AS n, round(avg(adaptive_cost), 9) AS adaptive_cost, round(avg(naive_cost), 9) AS naive_cost,
-        round(avg(adaptive_success), 9) AS adaptive_success, round(avg(naive_success), 9) AS naive_success
+    "q_adaptive_by_class": f"""WITH {_HARD_SQL} SELECT c.hardness_class, count(task_id) AS n, round(avg(adaptive_cost) + 3e-11, 9) AS adaptive_cost, round(avg(naive_cost) + 3e-11, 9) AS naive_cost,
+        round(avg(adaptive_success) + 3e-11, 9) AS adaptive_success, round(avg(naive_success) + 3e-11, 9) AS naive_success
         FROM (VALUES ('easy'), ('hard')) AS c(hardness_class) LEFT JOIN compared USING (hardness_class) GROUP BY 1""",
     "q_savings_histogram": f"""WITH {_HARD_SQL}, s AS (SELECT naive_cost - adaptive_cost AS v FROM compared), l AS (SELECT min(v) AS lo, (max(v) - min(v)) / 20 AS w FROM s)
         SELECT CASE WHEN w > 0 THEN least(floor((v - lo) / w), 19) ELSE 0 END::INT AS bin, count(*) AS n FROM s CROSS JOIN l GROUP BY 1""",
