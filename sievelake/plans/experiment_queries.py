@@ -92,7 +92,8 @@ def cost_unpivot(spark, d):
 
 
 def cost_rollup(spark, d):
-    return costs(spark, d).cube("task_type", "topk").agg(F.sum("token_cost").alias("total"), F.count(F.lit(1)).alias("n"))
+    cube = costs(spark, d).cube("task_type", "topk").agg(F.sum("token_cost").alias("total"), F.count(F.lit(1)).alias("n"))
+    return cube.select(F.coalesce("task_type", F.lit("all")).alias("task_type"), F.coalesce("topk", F.lit(-1)).alias("topk"), "total", "n")
 
 
 def budget(spark, d):
@@ -377,7 +378,7 @@ SQL = {
         SELECT task_type, topk, q1, median, q3, min(token_cost) AS low, max(token_cost) AS high FROM q JOIN costs USING (task_type, topk)
         WHERE token_cost BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL""",
     "q_cost_unpivot": f"WITH {COSTS_SQL} SELECT task_id, 'c' || topk AS variable, token_cost AS value FROM costs",
-    "q_cost_rollup": f"WITH {COSTS_SQL} SELECT task_type, topk, sum(token_cost)::BIGINT AS total, count(*) AS n FROM costs GROUP BY CUBE (task_type, topk)",
+    "q_cost_rollup": f"WITH {COSTS_SQL} SELECT coalesce(c.task_type, 'all') AS task_type, coalesce(c.topk, -1)::INT AS topk, sum(token_cost)::BIGINT AS total, count(*) AS n FROM costs c GROUP BY CUBE (c.task_type, c.topk)",
     "q_budget_simulation": f"""WITH {_BUDGET_SQL} SELECT task_id, task_type, topk, budget, left_tokens::BIGINT AS context_tokens, (left_tokens - budget)::BIGINT AS deviation,
         round(deviation_ratio, 9) AS deviation_ratio, round(utilization, 9) AS utilization, round(success_prob, 9) AS success_prob FROM budget""",
     "q_budget_bins": f"""WITH {_BUDGET_SQL}, {_bins(-1.0, 0.1, 24)} SELECT bin::INT AS bin, round(avg(success_prob) + 3e-11, 9) AS mean, count(success_prob) AS n

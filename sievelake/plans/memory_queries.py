@@ -155,7 +155,8 @@ def injection(spark, d):
 
 
 def stale_users(spark, d):
-    return memory.stale(table(spark, d, "events"), "user_id", "ts", 2)
+    found = memory.stale(table(spark, d, "events"), "user_id", "ts", 2)
+    return found.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
 
 
 def compaction(spark, d):
@@ -336,7 +337,7 @@ SQL = {
     "q_tenant_view": "SELECT doc_id, sha256(text) AS text, lang FROM documents WHERE source = 'src0'",
     "q_injection": f"""SELECT lang, sum(regexp_matches(text, '{memory.INJECTION}')::INT)::BIGINT AS flagged, count(*) AS n FROM documents GROUP BY 1""",
     "q_stale": """WITH l AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1)
-        SELECT user_id, last_seen, last_seen < (SELECT max(ts) FROM events) - INTERVAL 2 DAYS AS stale FROM l""",
+        SELECT user_id, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, last_seen < (SELECT max(ts) FROM events) - INTERVAL 2 DAYS AS stale FROM l""",
     "q_compaction": """SELECT event_type, count(*) AS rows_before, count(DISTINCT user_id) AS rows_after, round(1 - count(DISTINCT user_id) / count(*), 9) AS saved FROM events GROUP BY 1""",
     "q_latest_state": """SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
     "q_growth": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n_events, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread
