@@ -88,12 +88,16 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
 
 
 def arrow_map(
-    df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list]]
+    df: DataFrame,
+    column: str,
+    fields: list[T.StructField],
+    make: Callable[[], Callable[[pa.Array], list]],
+    most: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Add columns computed batch-wise from one string or binary column.
 
     ``make`` runs once per task and returns a function from an Arrow array to one list or array per
-    field. A clashing column of ``df`` is replaced.
+    field; it sees ``most`` bytes at a time or one row. A clashing column of ``df`` is replaced.
     """
     df = without(df, *[f.name for f in fields])
     schema = T.StructType([*df.schema.fields, *fields])
@@ -103,7 +107,7 @@ def arrow_map(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, most):
                 made = compute(part.column(part.schema.get_field_index(column)))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
