@@ -114,8 +114,13 @@ class Pattern:
         return len(text)
 
 
-def neighbourhoods(item: str) -> list[list[tuple[int, int, Pattern, int]]]:
-    """For each piece, the (begin, end, pattern, edits allowed) of the runs of pieces around it, growing, without the whole."""
+def neighbourhoods(item: str) -> list[list[tuple[int, int, Pattern, int, tuple]]]:
+    """For each piece, the (begin, end, pattern, edits allowed, needles) of the runs of pieces around it, growing,
+    without the whole.
+
+    Needles are the halves of a run's other pieces: as these have no more edits than there are pieces,
+    one of them has one edit at most, and half of it stands in the text unchanged.
+    """
     cut = pieces(item)
     out: list[list] = [[] for _ in cut]
 
@@ -124,9 +129,11 @@ def neighbourhoods(item: str) -> list[list[tuple[int, int, Pattern, int]]]:
             return
         begin, end = cut[first][0], cut[last - 1][0] + len(cut[last - 1][1])
         if last - first < len(cut):
-            run = (begin, end, Pattern(item[begin:end]), last - first - 1)
+            pattern = Pattern(item[begin:end])
             for piece in range(first, last):
-                out[piece].insert(0, run)
+                others = [p for n, (_, p) in enumerate(cut[first:last], first) if n != piece]
+                needles = tuple(h for p in others for h in (p[: len(p) // 2], p[len(p) // 2 :]))
+                out[piece].insert(0, (begin, end, pattern, last - first - 1, needles))
         middle = (first + last) // 2
         split(first, middle)
         split(middle, last)
@@ -160,8 +167,9 @@ class Matcher:
                 start = at - offset
                 if start in starts.get(i, ()):
                     continue
-                for begin, end, pattern, most in self.items[i][4][piece]:
-                    if not pattern.search(text[max(0, start + begin - most) : start + end + most], most):
+                for begin, end, pattern, most, needles in self.items[i][4][piece]:
+                    around = text[max(0, start + begin - most) : max(0, start + end + most)]
+                    if not any(n in around for n in needles) or not pattern.search(around, most):
                         break
                 else:
                     starts.setdefault(i, set()).add(start)

@@ -7,13 +7,18 @@ word has a nearest codeword, at distance three or less, and up to five more at d
 
 If two words differ in one bit or not at all, the nearest codeword of one lies within distance four
 of the other. By pigeonhole, three errors leave two of three segments with one error each at most.
-So one side is stored under the nearest codewords of each pair of segments (three keys), the other
-side looks up all codewords within distance four (some 85 keys), and no link is lost. The join
-verifies the Hamming distance of each candidate pair.
+For such a pair of segments, one side looks up all codewords near its first segment with the nearest
+one of its second, the other side the nearest of its first with all near its second: they meet at the
+second side's nearest codeword of the first segment and the first side's nearest of the second. So
+some 32 keys of a fingerprint, whichever side they stand for, lose no link.
 
 Only different fingerprints are joined: all documents with one fingerprint count as one node, so a
-group of copies of any size costs one row. Links become components by min-label propagation with
-pointer jumping, each round written to the shared folder.
+group of copies of any size costs one row. Fingerprints meet in buckets by key, where the Hamming
+distance of candidates is verified. A bucket gives its links as a spanning forest (all of them, if it
+has few members): as many links as members at most, and the same components as all of its pairs. A
+bucket of more than ``BUCKET`` members is put off and dealt to pairs of blocks, each a bucket of its own.
+Links become components by min-label propagation with pointer jumping, each round written to the
+shared folder.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with equal ids are
 one node or several according to their fingerprints. A null id never names a component unless it
@@ -34,6 +39,10 @@ from .common import arrow_map, written
 SEED = 42
 SEGMENT_BITS = (22, 21, 21)
 PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Buckets of so many members give all their links.
+SMALL = 8
+#: Members of a bucket that one task compares with each other at most.
+BUCKET = 4096
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
@@ -111,12 +120,12 @@ def near_indices(fingerprints: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def key_table(fingerprints: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each fingerprint: under its nearest codewords, or under ``every`` codeword within distance four."""
+def key_table(fingerprints: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each fingerprint for one side of the join: the left one spreads the first segment of a pair."""
     near = near_indices(fingerprints)
     rows, keys = [], []
     for p, (i, j) in enumerate(PAIRS):
-        a, b = (near[i], near[j]) if every else (near[i][:, :1], near[j][:, :1])
+        a, b = (near[i], near[j][:, :1]) if left else (near[i][:, :1], near[j])
         key = (np.int64(p) << 24) | (a[:, :, None] << 12) | b[:, None, :]
         row, at, to = np.nonzero((a >= 0)[:, :, None] & (b >= 0)[:, None, :])
         rows.append(row)
@@ -124,31 +133,127 @@ def key_table(fingerprints: np.ndarray, every: bool) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def with_keys(nodes: DataFrame, every: bool) -> DataFrame:
+def with_keys(nodes: DataFrame) -> DataFrame:
+    """(key, fp, node) of every node under each of its keys."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                row, key = key_table(part.column(0).to_numpy().view(np.uint64), every)
+                fps = part.column(0).to_numpy().view(np.uint64)
+                (r1, k1), (r2, k2) = key_table(fps, True), key_table(fps, False)
+                row, key = np.unique(np.stack([np.concatenate((r1, r2)), np.concatenate((k1, k2))]), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int32)), *[c.take(pa.array(row)) for c in part.columns]],
-                    names=["_key", *part.schema.names],
+                    [pa.array(key), *[c.take(pa.array(row)) for c in part.columns]], names=["key", "fp", "node"]
                 )
 
-    return nodes.mapInArrow(run, T.StructType([T.StructField("_key", T.IntegerType()), *nodes.schema.fields]))
+    return nodes.select("fp", "node").mapInArrow(run, "key bigint, fp bigint, node bigint")
+
+
+def forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different fingerprints ``most`` bits apart, as places: a spanning forest of all such links."""
+    heads, tails = [], []
+    left = np.arange(len(fps))
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            v = frontier.pop()
+            near = np.bitwise_count(fps[left] ^ fps[v]) <= most
+            new = left[near]
+            if len(new):
+                heads.append(np.full(len(new), v))
+                tails.append(new)
+                frontier += new.tolist()
+                left = left[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *heads]), np.concatenate([none, *tails])
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the buckets of rows sorted by key, as places."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(keys)])))
+    size = np.repeat(sizes, sizes)
+    heads, tails = [], []
+    small = size <= SMALL
+    for step in range(1, SMALL):
+        at = np.flatnonzero(small[:-step] & (keys[step:] == keys[:-step]))
+        if not len(at):
+            break
+        at = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= most]
+        heads.append(at)
+        tails.append(at + step)
+    for start, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        a, b = forest(fps[start : start + n], most)
+        heads.append(a + start)
+        tails.append(b + start)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *heads]), np.concatenate([none, *tails])
+
+
+def links_by_bucket(keyed: DataFrame, most: int, put_off: int | None) -> DataFrame:
+    """(key, a, b) from (key, fp, node): links with key null, and (key, fp, node) of buckets over ``put_off`` members."""
+
+    def emit(keys, fps, nodes):
+        a, b = bucket_links(keys, fps, most)
+        a, b = nodes[a], nodes[b]
+        ok = a != b
+        n = int(ok.sum())
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(a[ok]), pa.array(b[ok])], names=["key", "a", "b"])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        hot = None  # the key of a bucket that is being put off
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+            keys, fps, nodes = (np.concatenate(x) for x in zip(held, new, strict=True))
+            end = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+            whole = [x[:end] for x in (keys, fps, nodes)]
+            held = [x[end:] for x in (keys, fps, nodes)]
+            big = [whole[0] == hot] if hot is not None else []
+            if put_off:
+                starts = np.flatnonzero(np.concatenate(([True], whole[0][1:] != whole[0][:-1]))) if end else np.zeros(0, int)
+                sizes = np.diff(np.concatenate((starts, [end]))).astype(int)
+                big.append(np.repeat(sizes > put_off, sizes))
+                if len(held[0]) > put_off or held[0][0] == hot:
+                    hot = held[0][0]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["key", "a", "b"])
+                    held = [x[:0] for x in held]
+            off = np.logical_or.reduce(big) if big else np.zeros(end, bool)
+            if off.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[off].view(np.int64)) for x in whole], names=["key", "a", "b"])
+            if end:
+                yield from emit(*[x[~off] for x in whole])
+        if len(held[0]):
+            if hot is not None and held[0][0] == hot:
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["key", "a", "b"])
+            else:
+                yield from emit(*held)
+
+    sorted_ = keyed.select("key", "fp", "node").repartition("key").sortWithinPartitions("key", "fp")
+    return sorted_.mapInArrow(run, "key bigint, a bigint, b bigint")
 
 
 def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     """Pairs (a, b) of nodes (fp, node) whose fingerprints differ in ``most`` bits at most (three or fewer).
 
-    A pair is found under one to three keys; repeats are left to the aggregation that follows.
+    They connect what all such pairs connect; a pair may come more than once.
     """
     if most > 3:
         raise ValueError("two of three segments are only sure to have one error at most if there are three or fewer")
-    stored = with_keys(nodes.select("fp", F.col("node").alias("b")), every=False).withColumnRenamed("fp", "fp_b")
-    sought = with_keys(nodes.select("fp", F.col("node").alias("a")), every=True).withColumnRenamed("fp", "fp_a")
-    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= most
-    return sought.join(stored, (sought["_key"] == stored["_key"]) & (F.col("fp_a") < F.col("fp_b")) & near).select("a", "b")
+    found = written(links_by_bucket(with_keys(nodes), most, BUCKET), "bucket-links")
+    pairs = found.where("key is null").select("a", "b")
+    late = found.where("key is not null").select("key", F.col("a").alias("fp"), F.col("b").alias("node"))
+    if late.isEmpty():
+        return pairs
+    blocks = late.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("n"))
+    own = late.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    name = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    rest = links_by_bucket(dealt.select(name.alias("key"), "fp", "node"), most, None)
+    return pairs.union(rest.select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,12 +21,13 @@ def test_three_errors_always_share_a_key():
     y = x.copy()
     for _ in range(3):
         y ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
-    sought, stored = [{} for _ in x], [{} for _ in x]
-    for row, key in zip(*G.key_table(x, True), strict=True):
-        sought[row][key] = 1
-    for row, key in zip(*G.key_table(y, False), strict=True):
-        stored[row][key] = 1
-    assert all(a.keys() & b.keys() for a, b in zip(sought, stored, strict=True))
+    for one, other in ((x, y), (y, x)):
+        left, right = [set() for _ in x], [set() for _ in x]
+        for row, key in zip(*G.key_table(one, True), strict=True):
+            left[row].add(key)
+        for row, key in zip(*G.key_table(other, False), strict=True):
+            right[row].add(key)
+        assert all(a & b for a, b in zip(left, right, strict=True))
 
 
 def reference_fingerprint(text):
