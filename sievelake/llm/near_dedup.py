@@ -1,12 +1,19 @@
-"""Near-duplicate removal: Golay-keyed SimHash candidates, verified on five-word shingles.
+"""Near-duplicate removal by an exact similarity join on five-word shingles.
 
-Three fingerprints of a document are majority votes over its set of different words, hashed with
-three seeds. Pairs whose fingerprints under one seed differ in three bits or fewer are candidates
-(found through Golay codewords, see ``golay_simhash``); documents with one fingerprint are candidates
-with the first of them, so a group of copies costs one candidate each. A candidate pair is a link if
-the Jaccard similarity of the two sets of five-word shingles (A-Z lower-cased; the whole sequence if
-there are fewer words) is 0.8 or more, computed exactly on the whole texts. Of each group of linked
-documents the one with the smallest id stays.
+Two documents are alike if the Jaccard similarity of their sets of five-word shingles (A-Z lower-cased;
+the whole sequence if there are fewer words) is 0.8 or more, computed on the whole texts. Of each group of
+documents that such pairs connect the one with the smallest id stays.
+
+Candidates come from prefix filtering, which loses no pair: with the shingles of all documents in one order,
+two sets that are alike share one among the first n - ceil(0.8 n) + 1 of each. The order is that of the hashes,
+with shingles that are frequent in a sample put last, so that a common line is hardly ever a key. Any order
+finds the same pairs; the sample decides what is compared, not what is found. Documents with equal sets are
+one node. Nodes meet in buckets by key, where sizes and places of the key rule out most of them.
+
+A bucket of up to ``SMALL`` nodes offers all its pairs. A larger one first offers each node's neighbours in order
+of size. Once these are verified and connected, it offers pairs twice as far apart, but only between nodes that
+are still in different components, and so on, until every pair of every bucket is verified, ruled out or
+connected by verified links. A large group of near copies so costs a few pairs per member and bucket.
 
 Null and empty texts have no word, aren't alike and all stay. Rows that share an id are one document:
 they stay or go together. Rows without id stay. Columns pass through as they are.
@@ -14,6 +21,8 @@ they stay or go together. Rows without id stay. Columns pass through as they are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,23 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, chunks, written
-from .golay_simhash import components, links
+from .golay_simhash import components
 
-SEEDS = (42, 43, 44)
 SHINGLE = 5
 SIMILARITY = 0.8
-
-
-def word_fingerprints(text: str) -> list[int]:
-    """A 64-bit majority vote over the different words of a text for each seed."""
-    words = set(text.encode().lower().split())
-    out = []
-    for seed in SEEDS:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = bits.sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(words), bitorder="little").view("<i8")[0]))
-    return out
+#: Buckets of so many nodes offer all their pairs at once.
+SMALL = 8
+#: Neighbours on either side that a larger bucket offers first.
+STEPS = 2
+#: Pairs that all larger buckets together offer in one last round.
+AT_ONCE = 1_000_000
+#: Documents that say which shingles are frequent, in how many of them, and how many such shingles are shipped at most.
+SAMPLE, FREQUENT, SHIPPED = 20_000, 5, 50_000
 
 
 def shingles(text: str) -> set[int]:
@@ -59,16 +63,94 @@ def similarity(a: set[int], b: set[int]) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of ``rows`` (_id, _fps)."""
-    found = None
-    for k in range(len(SEEDS)):
-        of = rows.select("_id", F.col("_fps")[k].alias("fp"))
-        nodes = written(of.groupBy("fp").agg(F.min("_id").alias("node")), "near-nodes")
-        same = of.join(nodes, "fp").where("_id <> node").select(F.col("node").alias("a"), F.col("_id").alias("b"))
-        linked = links(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = same.union(linked) if found is None else found.union(same).union(linked)
-    return found.distinct()
+def hashes(text: str) -> np.ndarray:
+    found = shingles(text)
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted shingles, those in ``frequent`` (sorted) last: every similar set has one of them, too."""
+    n = len(found)
+    take = n - math.ceil(SIMILARITY * n - 1e-9) + 1
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        late = frequent[at] == found
+        found = np.concatenate((found[~late], found[late]))
+    return found[:take]
+
+
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a sample have; their number is bounded."""
+    n = texts.count()
+    part = int(min(1.0, SAMPLE / max(n, 1)) * 2**20)
+    some = texts.where(F.pmod(F.xxhash64(F.lit("frequent"), "_id"), F.lit(2**20)) < part).select("_text")
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "_text"):
+                all_ = np.concatenate([np.zeros(0, np.uint64), *map(hashes, part.column(0).to_pylist())])
+                yield pa.RecordBatch.from_arrays([pa.array(all_.view(np.int64))], names=["h"])
+
+    counts = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
+    top = counts.orderBy(F.desc("c"), "h").limit(SHIPPED).collect()
+    return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
+
+
+def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.ndarray, steps: range) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs so many steps apart in rows sorted by key that differ in ``apart`` and may be alike, as places."""
+    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    room = sizes - places  # shingles from the key on: no more can be shared, if the key is the first that is
+    for step in steps:
+        at = np.flatnonzero(keys[step:] == keys[:-step])
+        if not len(at):
+            break
+        to = at + step
+        least = SIMILARITY / (1 + SIMILARITY) * (sizes[at] + sizes[to]) - 1e-6
+        ok = (np.minimum(room[at], room[to]) >= least) & (apart[at] != apart[to])
+        heads.append(at[ok])
+        tails.append(to[ok])
+    return np.concatenate(heads), np.concatenate(tails)
+
+
+def bucket_pairs(keyed: DataFrame, low: int, high: int) -> DataFrame:
+    """(key, n, p, a, b) from (key, n, p, node, component): candidates with key null, of different components and more than
+    ``low``, up to ``high`` places apart in their bucket; and, b null, the nodes of buckets with more distant pairs."""
+
+    def emit(keys, sizes, places, nodes, groups):
+        a, b = offered(keys, sizes, places, groups, range(low + 1, high + 1))
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        of = np.diff(np.concatenate((starts, [len(keys)])))
+        late = np.flatnonzero(np.repeat(of, of) > max(high, SMALL))
+        if low == 0:  # small buckets are done at once
+            small = np.flatnonzero(np.repeat(of, of) <= SMALL)
+            more = offered(keys[small], sizes[small], places[small], groups[small], range(high + 1, SMALL))
+            a, b = np.concatenate((a, small[more[0]])), np.concatenate((b, small[more[1]]))
+        pairs = np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])])
+        pairs = np.unique(pairs, axis=1)
+        none = pa.nulls(pairs.shape[1], pa.int64())
+        names = ["key", "n", "p", "a", "b"]
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[0]), pa.array(pairs[1])], names=names)
+        kept = [pa.array(x[late]) for x in (keys, sizes, places, nodes)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.nulls(len(late), pa.int64())], names=names)
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows < 1 << 18 or held[0][0][0] == held[-1][0][-1]:
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(whole[0], whole[0][-1]))  # the last bucket may go on
+            held, rows = [[x[end:] for x in whole]], rows - end
+            yield from emit(*[x[:end] for x in whole])
+        if held:
+            yield from emit(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+    sorted_ = keyed.select("key", "n", "p", "node", "component").repartition("key").sortWithinPartitions("key", "n", "node")
+    return sorted_.mapInArrow(run, "key bigint, n bigint, p bigint, a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -96,14 +178,45 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(node, component) of every document that has a near copy; component is the smallest id of its group."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     texts = texts.where(F.col("_id").isNotNull() & F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    shipped = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def make():
-        return lambda values: [[word_fingerprints(t) for t in values.to_pylist()]]
-
-    fields = [T.StructField("_fps", T.ArrayType(T.LongType()))]
-    rows = written(arrow_map(texts, "_text", fields, make).select("_id", "_fps"), "near-rows")
-    pairs = written(candidates(rows).where("a <> b"), "near-pairs")
-    return components(verified(pairs, texts))
+        frequent = shipped.value
+
+        def of(values):
+            out = []
+            for text in values.to_pylist():
+                found = hashes(text)
+                out.append((xxhash.xxh3_128_digest(found.tobytes()), len(found), prefix(found, frequent).view(np.int64)))
+            return [[x[i] for x in out] for i in range(3)]
+
+        return of
+
+    fields = [T.StructField("_set", T.BinaryType()), T.StructField("_n", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType()))]
+    rows = written(arrow_map(texts, "_text", fields, make).select("_id", "_set", "_n", "_keys"), "near-rows")
+    first = written(rows.groupBy("_set").agg(F.min("_id").alias("node")), "near-nodes")
+    placed = rows.join(first, "_set")
+    alike = written(placed.where("_id <> node").select(F.col("node").alias("a"), F.col("_id").alias("b")), "near-links")
+    nodes = placed.where("_id = node").select("node", F.col("_n").alias("n"), F.posexplode("_keys").alias("p", "key"))
+    keyed = nodes.select("key", "n", F.col("p").cast("long").alias("p"), "node", F.col("node").alias("component"))
+    low, high, seen = 0, STEPS, None
+    while True:
+        found = written(bucket_pairs(keyed, low, high), "near-buckets")
+        pairs = found.where("key is null").select("a", "b").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        seen = pairs if seen is None else seen.union(pairs)
+        alike = alike.union(written(verified(pairs, texts), "near-links"))
+        groups = components(alike)
+        late = found.where("key is not null").select("key", "n", "p", F.col("a").alias("node"))
+        late = late.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = late.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+        keyed = written(late.join(mixed.select("key"), "key"), "near-open")
+        left = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
+        if left.c is None:
+            return groups
+        low, high = high, left.c if left.pairs <= AT_ONCE else 2 * high
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
