@@ -36,3 +36,28 @@ def test_all_groups_of_brute_force(spark):
                 rows.append((len(rows), " ".join(changed)))
     want = brute(rows)
     assert want and found(spark, rows) == want
+
+
+def test_same_words_in_other_order_hide_no_copies(spark):
+    rng = random.Random(2)
+    words = text(rng, 200)
+    shuffled = rng.sample(words, len(words))
+    near = words[:]
+    near[100], near[101] = near[101], near[100]
+    rows = [(1, " ".join(shuffled)), (2, " ".join(words)), (3, " ".join(near))]
+    assert found(spark, rows) == {2: 2, 3: 2}
+
+
+def test_one_line_in_all_documents_and_templates(spark):
+    """Large buckets: a common passage, of documents some of which are alike."""
+    rng = random.Random(3)
+    line = text(rng, 60)
+    rows = [(i, " ".join(line + text(rng, rng.randint(5, 40)))) for i in range(120)]
+    base = text(rng, 150)
+    for i in range(200, 320):
+        words = base[:]
+        for at in rng.sample(range(150), 3):
+            words[at] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(400 + i, t.upper() + " ") for i, t in rows[:5]]
+    assert found(spark, rows) == brute(rows)
