@@ -7,8 +7,9 @@ on c of the node's m pages, its entropy over the pages is log(c) / log(m): 0 for
 page, 1 for content of all. A node's importance is one minus the mean entropy of its different
 blocks: high where pages differ (articles), low where they agree (menus, footers, notices).
 
-The trees of all hosts are merged into one tree in the same way. A node counts with the higher of its
-two importances, so a host with few pages, or with one article on many, borrows from the rest.
+The trees of all hosts are merged into one tree in the same way. A node counts with its importance in the
+tree of its host if that has enough pages there, and with that of all hosts otherwise, so a host with few
+pages borrows from the rest and a host's own notice goes however many hosts have another at that place.
 Presentation itself is evidence, too: elements and names that stand for menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments have importance 0, and the element that stands
 for the main content (``article`` or ``main``) has importance 1, as have nodes within it that no such
@@ -39,7 +40,7 @@ from .common import chunks, written
 LEAST_IMPORTANCE = 0.3
 #: A node's entropy says something from so many pages on.
 LEAST_PAGES = 20
-#: Low nodes of all hosts that are broadcast at most (with the host's name, under 100 bytes each); more are joined by a shuffle.
+#: Low nodes of hosts that are broadcast at most (with the host's name, under 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -227,7 +228,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def node_blocks(pages: DataFrame) -> DataFrame:
     """(host, node, block) of every different block that a page shows at a node, once per page;
-    block is a hash, and 0 stands for the page itself."""
+    block is a hash, 0 stands for the page itself, and -1 for a page that shows something below the node."""
 
     def run(batches):
         for batch in batches:
@@ -235,8 +236,11 @@ def node_blocks(pages: DataFrame) -> DataFrame:
                 hosts, nodes, hashes = [], [], []
                 for source, host in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     seen = set()
-                    for node, text, noisy, _, _ in Page(source).blocks:
+                    for node, text, noisy, _, chain in Page(source).blocks:
                         if not noisy:
+                            while chain and (chain[0], -1) not in seen:
+                                seen.add((chain[0], -1))
+                                chain = chain[1]
                             seen.add((node, xxhash.xxh64_intdigest(text.encode()) >> 1 | 1))
                             seen.add((node, 0))
                     hosts += [host] * len(seen)
@@ -250,9 +254,9 @@ def node_blocks(pages: DataFrame) -> DataFrame:
 
 def importance(counts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pages, importance) from the number of pages of each block at each node."""
-    content = F.col("block") != 0
+    content = F.col("block") > 0
     per_node = counts.groupBy(*keys).agg(
-        F.max(F.when(~content, F.col("c"))).alias("pages"),
+        F.max(F.when(F.col("block") == 0, F.col("c"))).alias("pages"),
         F.sum(F.when(content, F.log("c"))).alias("logs"),
         F.count(F.when(content, 1)).alias("blocks"),
     )
@@ -263,41 +267,37 @@ def importance(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def low_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes to remove by their content: (node) for hosts with too few pages there, (host, node, low) for the others."""
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """(host, node) of the nodes to remove by their content: the host's own where it has enough pages there, else that of all."""
     counts = written(node_blocks(pages).groupBy("host", "node", "block").agg(F.count(F.lit(1)).alias("c")), "site-tree")
     of_host = importance(counts, ["host", "node"]).where(F.col("pages") >= LEAST_PAGES)
+    own = of_host.select("host", "node", (F.col("importance") < LEAST_IMPORTANCE).alias("own_low"))
     whole = importance(counts.groupBy("node", "block").agg(F.sum("c").alias("c")), ["node"])
-    whole = whole.select("node", F.col("pages").alias("all_pages"), F.col("importance").alias("all_importance"))
-    low = whole.where((F.col("all_pages") >= LEAST_PAGES) & (F.col("all_importance") < LEAST_IMPORTANCE))
-    kept = of_host.where(F.col("importance") >= LEAST_IMPORTANCE).join(low, "node").select("host", "node")
-    return low.select("node"), kept
+    low = whole.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    low = low.select("node", F.lit(True).alias("all_low"))
+    there = counts.select("host", "node").distinct().join(own, ["host", "node"], "left").join(low, "node", "left")
+    return there.where(F.coalesce("own_low", "all_low", F.lit(False))).select("host", "node")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = page_rows(pages)
-    low, kept = low_nodes(rows)
-    low, kept = written(low, "low-nodes"), written(kept, "kept-nodes")
-    # Both are nodes of the tree with at least LEAST_PAGES pages: templates, not pages. Their number is checked.
-    n_low, n_kept = low.count(), kept.count()
-    per_host = kept.groupBy("host").agg(F.collect_list("node").alias("kept"))
-    if n_low > BROADCAST_ROWS:
-        raise ValueError(f"{n_low} nodes of low importance in all; raise LEAST_PAGES")
-    shipped = pages.sparkSession.sparkContext.broadcast(frozenset(r.node for r in low.toLocalIterator()))
-    if n_kept:
-        per_host = F.broadcast(per_host) if n_kept <= BROADCAST_ROWS else per_host
-        rows = rows.join(per_host, "host", "left").select("page_id", "url", "html", "kept")
+    low = written(low_nodes(rows), "low-nodes")
+    # Nodes of a tree with at least LEAST_PAGES pages: templates, not pages. Beyond the bound they are joined by a shuffle.
+    n_low = low.count()
+    per_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
+    if n_low:
+        per_host = F.broadcast(per_host) if n_low <= BROADCAST_ROWS else per_host
+        rows = rows.join(per_host, "host", "left").select("page_id", "url", "html", "low")
     else:
-        rows = rows.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("kept"))
+        rows = rows.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("low"))
 
     def run(batches):
-        remove = shipped.value
         for batch in batches:
             for part in chunks(batch, "html"):
                 texts = []
-                for source, spared in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    texts.append(main_text(source, remove.difference(spared) if spared else remove))
+                for source, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    texts.append(main_text(source, frozenset(low or ())))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
                 )

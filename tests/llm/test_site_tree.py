@@ -76,3 +76,12 @@ def test_hosts(spark):
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
     got = [r.h for r in rows.orderBy("i").select(S.host_of(rows.url).alias("h")).collect()]
     assert got == ["a.example", "", "", "b.example", "c.example"]
+
+
+def test_a_notice_of_its_own_on_each_host_goes(spark):
+    """The host's tree decides where it has enough pages; all hosts' tree for hosts with few."""
+    body = lambda i: f"<div class=t2><p>text {i} of its own</p></div>"
+    pages = [(100 * h + i, f"http://h{h}.example/{i}", f"{body(100 * h + i)}<div class=t3>Notice of host {h}</div><div class=t4>All rights</div>") for h in range(10) for i in range(20)]
+    pages += [(5000, "http://small.example/", f"{body(5000)}<div class=t4><i>All rights</i></div>")]
+    got = {r.page_id: r.text for r in S.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"text {i} of its own" for i, *_ in pages}
