@@ -11,20 +11,24 @@ than pieces. So a hit is verified in growing neighbourhoods of its piece, two or
 and the whole item last, and is dropped at the first that has too many edits.
 
 The test items are the stated query set: they are shipped to the executors in blocks of bounded size
-(``BLOCK_CHARS``), each block matched against all documents, so their number is not limited.
+(``BLOCK_CHARS``), so their number is not limited. The documents are read once: if there are several
+blocks, a task takes its documents in groups of ``GROUP_BYTES`` and matches a group against one block after
+the other. A worker holds one block's automaton at a time; bit vectors are made when a hit needs them.
 
 A match is reported as (document, item, distance, begin, end), with offsets into the normalised
-text; the end is that of the first occurrence with the least distance. Items shorter than
-``MIN_CHARS`` normalised characters say nothing about a document and never match; nor do null or
-empty texts. Items with equal texts match alike. Other columns are ignored; rows that repeat an id
-are matched each on its own.
+text; the end is that of the first occurrence with the least distance. An item of fewer than
+``MIN_CHARS`` normalised characters says nothing inside a text: it matches a document that consists of
+nothing else. Null and empty items and documents never match. Items with equal texts match alike. Other
+columns are ignored; rows that repeat an id are matched each on its own, with or without an id.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +40,12 @@ from .common import chunks
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 10
 MIN_CHARS = 20
-#: Characters of test items shipped to the executors at once.
-BLOCK_CHARS = 4_000_000
+#: Characters of test items in one block; its automaton takes some 100 bytes for each.
+BLOCK_CHARS = 2_000_000
+#: Bytes of text that a task matches against a block before it takes the next one, if there are several.
+GROUP_BYTES = 32 << 20
+#: Bit vectors that a matcher keeps, of a few kB each; others are made again.
+PATTERNS = 4096
 
 SCHEMA = "doc_id bigint, item_id bigint, distance int, begin int, end int"
 
@@ -114,68 +122,86 @@ class Pattern:
         return len(text)
 
 
-def neighbourhoods(item: str) -> list[list[tuple[int, int, Pattern, int, tuple]]]:
-    """For each piece, the (begin, end, pattern, edits allowed, needles) of the runs of pieces around it, growing,
-    without the whole.
-
-    Needles are the halves of a run's other pieces: as these have no more edits than there are pieces,
-    one of them has one edit at most, and half of it stands in the text unchanged.
-    """
-    cut = pieces(item)
-    out: list[list] = [[] for _ in cut]
+@functools.cache
+def neighbourhoods(n: int) -> list[list[tuple[int, int]]]:
+    """For each of n pieces, the (first, last) runs of pieces around it, growing, without the whole."""
+    out: list[list] = [[] for _ in range(n)]
 
     def split(first: int, last: int) -> None:
         if last - first < 2:
             return
-        begin, end = cut[first][0], cut[last - 1][0] + len(cut[last - 1][1])
-        if last - first < len(cut):
-            pattern = Pattern(item[begin:end])
+        if last - first < n:
             for piece in range(first, last):
-                others = [p for n, (_, p) in enumerate(cut[first:last], first) if n != piece]
-                needles = tuple(h for p in others for h in (p[: len(p) // 2], p[len(p) // 2 :]))
-                out[piece].insert(0, (begin, end, pattern, last - first - 1, needles))
+                out[piece].insert(0, (first, last))
         middle = (first + last) // 2
         split(first, middle)
         split(middle, last)
 
-    split(0, len(cut))
+    split(0, n)
     return out
 
 
 class Matcher:
+    """Finds the items of one block in texts."""
+
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = [(item_id, text, Pattern(text), budget(text), neighbourhoods(text)) for item_id, text in items]
-        places: dict[str, list[tuple[int, int, int]]] = {}
-        for i, (_, text) in enumerate(items):
-            for n, (offset, piece) in enumerate(pieces(text)):
-                places.setdefault(piece, []).append((i, offset + len(piece) - 1, n))
+        self.short: dict[str, list[int]] = {}
+        self.items = []
+        for item_id, text in items:
+            if len(text) < MIN_CHARS:
+                self.short.setdefault(text, []).append(item_id)
+            else:
+                self.items.append((item_id, text))
+        places: dict[str, list[int]] = {}
+        for i, (_, text) in enumerate(self.items):
+            for n, (_, piece) in enumerate(pieces(text)):
+                places.setdefault(piece, []).extend((i, n))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
-            self.automaton.add_word(piece, tuple(where))
-        if places:
+            self.automaton.add_word(piece, array("i", where))
+        if self.items:
             self.automaton.make_automaton()
+        self.pattern = functools.lru_cache(PATTERNS)(lambda i, begin, end: Pattern(self.items[i][1][begin:end]))
+        self.cuts = functools.lru_cache(PATTERNS)(lambda i: pieces(self.items[i][1]))
+
+    def close_by(self, i: int, piece: int, start: int, text: str) -> bool:
+        """Whether every neighbourhood of a piece that stands in its place has few enough edits.
+
+        Of a run's other pieces, which have no more edits than there are pieces, one has one edit at most, so half of
+        it stands in the text unchanged: that is looked for first.
+        """
+        cut = self.cuts(i)
+        for first, last in neighbourhoods(len(cut))[piece]:
+            begin, end = cut[first][0], cut[last - 1][0] + len(cut[last - 1][1])
+            most = last - first - 1
+            around = text[max(0, start + begin - most) : max(0, start + end + most)]
+            for n in range(first, last):
+                half = cut[n][1]
+                if n != piece and (half[: len(half) // 2] in around or half[len(half) // 2 :] in around):
+                    break
+            else:
+                return False
+            if not self.pattern(i, begin, end).search(around, most):
+                return False
+        return True
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, begin, end) of every item that occurs in a normalised text."""
-        if not len(self.automaton):
-            return []
+        out = [(item_id, 0, 0, len(text)) for item_id in self.short.get(text, ()) if text]
+        if not self.items:
+            return out
         starts: dict[int, set[int]] = {}
         for at, where in self.automaton.iter(text):
-            for i, offset, piece in where:
-                start = at - offset
-                if start in starts.get(i, ()):
-                    continue
-                for begin, end, pattern, most, needles in self.items[i][4][piece]:
-                    around = text[max(0, start + begin - most) : max(0, start + end + most)]
-                    if not any(n in around for n in needles) or not pattern.search(around, most):
-                        break
-                else:
+            for i, piece in zip(where[::2], where[1::2], strict=True):
+                offset, own = self.cuts(i)[piece]
+                start = at + 1 - len(own) - offset
+                if start not in starts.get(i, ()) and self.close_by(i, piece, start, text):
                     starts.setdefault(i, set()).add(start)
-        out = []
         for i, found in starts.items():
-            item_id, item, pattern, most, _ = self.items[i]
+            item_id, item = self.items[i]
+            most, pattern = budget(item), self.pattern(i, 0, len(item))
             best = None
             for start in sorted(found):
                 low, high = max(0, start - most), max(0, start + len(item) + most)
@@ -190,12 +216,12 @@ class Matcher:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The normalised test items that are long enough, in blocks of bounded size."""
+    """The normalised test items in blocks of bounded size."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     block, size = [], 0
     for row in rows.toLocalIterator():
         text = normalised(row.text)
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         if block and size + len(text) > BLOCK_CHARS:
             yield block
@@ -206,39 +232,58 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-_matchers: dict[str, Matcher] = {}
+_matchers: dict[tuple, Matcher] = {}
+
+
+def matched(rows: DataFrame, benchmark: DataFrame, text_col: str, give: Callable, schema: T.StructType) -> DataFrame:
+    """One pass over ``rows``: ``give`` makes a batch from one of them and the matches of each of its texts."""
+    context = rows.sparkSession.sparkContext
+    shipped = [context.broadcast(block) for block in blocks(benchmark)]
+    run_key = uuid.uuid4().hex
+    if not shipped:
+        return rows.mapInArrow(lambda batches: (give(b, [[]] * b.num_rows) for b in batches), schema)
+
+    def matcher(n: int) -> Matcher:
+        if (run_key, n) not in _matchers:
+            _matchers.clear()
+            _matchers[run_key, n] = Matcher(shipped[n].value)
+        return _matchers[run_key, n]
+
+    def several(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[[] for _ in range(part.num_rows)] for part in group]
+        for n in range(len(shipped)):
+            own = matcher(n)
+            for part, lists in zip(group, found, strict=True):
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                for text, matches in zip(texts, lists, strict=True):
+                    matches += own.matches(normalised(text))
+        for part, lists in zip(group, found, strict=True):
+            yield give(part, lists)
+
+    def run(batches):
+        group, size = [], 0
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                group.append(part)
+                size += part.column(part.schema.get_field_index(text_col)).nbytes
+                if len(shipped) == 1 or size > GROUP_BYTES:
+                    yield from several(group)
+                    group, size = [], 0
+        yield from several(group)
+
+    return rows.mapInArrow(run, schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, begin, end) of every test item that occurs in a document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = spark.createDataFrame([], SCHEMA)
-    for block in blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(block)
-
-        def run(batches, shipped=shipped, key=uuid.uuid4().hex):
-            if key not in _matchers:
-                _matchers.clear()
-                _matchers[key] = Matcher(shipped.value)
-            matcher = _matchers[key]
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    out = [
-                        (doc, *match)
-                        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                        for match in matcher.matches(normalised(text))
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.int32())
-                            for i in range(5)
-                        ],
-                        names=["doc_id", "item_id", "distance", "begin", "end"],
-                    )
-
-        found = found.unionByName(rows.mapInArrow(run, T._parse_datatype_string(SCHEMA)))
-    return found
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def give(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        out = [(doc, *match) for doc, matches in zip(part.column(0).to_pylist(), found, strict=True) for match in matches]
+        columns = [pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.int32()) for i in range(5)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "distance", "begin", "end"])
+
+    return matched(rows, benchmark, "text", give, T._parse_datatype_string(SCHEMA))
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +291,17 @@ def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose text no test item occurs, with their columns as they were."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+
+    def give(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        clean = pa.array([not matches for matches in found], pa.bool_())
+        return pa.RecordBatch.from_arrays([part.column(0).filter(clean)], names=["_doc"])
+
+    return matched(whole, benchmark, "_text", give, whole.select("_doc").schema).select("_doc.*")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents in which no test item occurs."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_leak"))
-    return docs.join(found.distinct(), F.col("doc_id") == F.col("_leak"), "left_anti")
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

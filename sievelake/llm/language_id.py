@@ -11,7 +11,7 @@ At prediction time the embeddings are folded into one score per bucket and langu
 costs a hash and a lookup per subword. Whole texts are read.
 
 Text that is null or has no letter is ``und`` with score 0, and is rejected. Rows without a label are
-not learned from; if no row has one, every text is ``und``. Ties go to the first language in
+not learned from; if no row has one, every text is ``und`` (and the pipeline's stage keeps all rows). Ties go to the first language in
 alphabetical order. Other columns pass through, and columns named like the outputs are replaced.
 """
 
@@ -216,12 +216,10 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is recognised."""
-    names = docs.columns
+    """Pipeline stage: documents whose language is recognised; all of them if no row has a label to learn from."""
     model = fit(docs, F.lit(True))
-    keep = identify(docs.withColumn("_text", F.col("text")), model, "_text")
-    # columns of the same names as the outputs come back from the input
-    if {"lang_pred", "score", "accepted"} & {c.lower() for c in names}:
-        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col("text").alias("_text"))
-        return identify(whole, model, "_text").where("accepted").select("_doc.*")
-    return keep.where("accepted").select(*[F.col(f"`{c}`") for c in names])
+    if not model.languages:
+        return docs
+    # the columns go along as one value, so that none is replaced by an output of its name
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").cast("string").alias("_text"))
+    return identify(whole, model, "_text").where("accepted").select("_doc.*")

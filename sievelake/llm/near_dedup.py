@@ -1,22 +1,28 @@
-"""Near-duplicate removal by an exact similarity join on five-word shingles.
-
-Two documents are alike if the Jaccard similarity of their sets of five-word shingles (A-Z lower-cased;
-the whole sequence if there are fewer words) is 0.8 or more, computed on the whole texts. Of each group of
-documents that such pairs connect the one with the smallest id stays.
-
-Candidates come from prefix filtering, which loses no pair: with the shingles of all documents in one order,
-two sets that are alike share one among the first n - ceil(0.8 n) + 1 of each. The order is that of the hashes,
-with shingles that are frequent in a sample put last, so that a common line is hardly ever a key. Any order
-finds the same pairs; the sample decides what is compared, not what is found. Documents with equal sets are
-one node. Nodes meet in buckets by key, where sizes and places of the key rule out most of them.
-
-A bucket of up to ``SMALL`` nodes offers all its pairs. A larger one first offers each node's neighbours in order
-of size. Once these are verified and connected, it offers pairs twice as far apart, but only between nodes that
-are still in different components, and so on, until every pair of every bucket is verified, ruled out or
-connected by verified links. A large group of near copies so costs a few pairs per member and bucket.
-
-Null and empty texts have no word, aren't alike and all stay. Rows that share an id are one document:
-they stay or go together. Rows without id stay. Columns pass through as they are.
+"""Near-duplicate removal by SimHash with Golay keys, completed to an exact similarity join.
+
+Two documents are alike if the Jaccard similarity of their sets of five-word shingles (A-Z lower-cased; the
+whole sequence if there are fewer words) is 0.8 or more, computed on the whole texts. Of each group of documents
+that such pairs connect the one with the smallest id stays. Documents with equal sets are one node.
+
+First the SimHash operator (:mod:`golay_simhash`) links nodes whose fingerprints, taken over words, differ in three
+bits at most; each link is verified on the shingles. No number of fingerprints makes that whole: a passage that is
+added at the end or one word repeated many times moves a fingerprint far and the shingles little. So what SimHash has
+not connected goes through a prefix filter, which loses no pair: with the shingles of all documents in one order, two
+sets that are alike share one among the first n - ceil(0.8 n) + 1 of each. The order is that of the hashes, with
+shingles that are frequent in a sample put last, so that a common line is hardly ever a key. Any order finds the
+same pairs; the sample decides what is compared, not what is found. Nodes meet in buckets by key, where sizes
+and places of the key rule out most pairs.
+
+A bucket of up to ``SMALL`` nodes offers all its pairs between different components. A larger one first offers each
+node's neighbours in order of size. Once these are verified and connected, it offers pairs twice as far apart, but only
+between nodes that are still in different components, and so on, until every pair of every bucket is verified, ruled
+out or connected by verified links. A large group of near copies so costs a few pairs per member and bucket.
+
+A candidate pair is ruled out without a look at the sets where a small bitmap of each (the parity of the shingles that
+fall on each bit) shows more differences than pairs that are alike can have; else the sets are intersected.
+
+Null and empty texts have no word, aren't alike and all stay. Rows are told apart by id and text, whether or not ids
+are unique or null (a null id comes last); rows equal in both stay or go together. Columns pass through as they are.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_map, chunks, written
-from .golay_simhash import components
+from .common import chunks, written
+from .golay_simhash import components, fingerprint
+from .golay_simhash import links as simhash_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,29 +49,26 @@ STEPS = 2
 AT_ONCE = 1_000_000
 #: Documents that say which shingles are frequent, in how many of them, and how many such shingles are shipped at most.
 SAMPLE, FREQUENT, SHIPPED = 20_000, 5, 50_000
+#: Bits of a set's bitmap at most.
+MOST_BITS = 4096
+#: Node numbers that are broadcast at most to fetch their sets (8 bytes each).
+BROADCAST_NODES = 500_000
+#: Pairs that a task holds before it passes them on.
+HELD_PAIRS = 1 << 20
 
 
-def shingles(text: str) -> set[int]:
+def hashes(text: str) -> np.ndarray:
+    """Sorted different hashes of a text's shingles."""
     words = text.encode().lower().split()
     if not words:
-        return set()
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(SHINGLE, len(words))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh3_64_intdigest
-    return {digest(joined[a:b]) for a, b in spans}
-
-
-def similarity(a: set[int], b: set[int]) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if both else 0.0
-
-
-def hashes(text: str) -> np.ndarray:
-    found = shingles(text)
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in spans), np.uint64, len(words) - width + 1))
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -79,11 +82,28 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return found[:take]
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """Per bit, whether an odd number of hashes falls on it; twice as many bits as hashes or more, up to a bound."""
+    size = min(MOST_BITS, max(64, 1 << (2 * len(found) - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differences(a: bytes, b: bytes) -> int:
+    """A number that the sets of two bitmaps differ in at least."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles that many documents of a sample have; their number is bounded."""
     n = texts.count()
     part = int(min(1.0, SAMPLE / max(n, 1)) * 2**20)
-    some = texts.where(F.pmod(F.xxhash64(F.lit("frequent"), "_id"), F.lit(2**20)) < part).select("_text")
+    some = texts.where(F.pmod(F.xxhash64(F.lit("frequent"), "_k"), F.lit(2**20)) < part).select("_text")
 
     def run(batches):
         for batch in batches:
@@ -96,9 +116,42 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
 
 
-def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.ndarray, steps: range) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs so many steps apart in rows sorted by key that differ in ``apart`` and may be alike, as places."""
-    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def described(texts: DataFrame) -> DataFrame:
+    """What is needed of each text: (_id, _k, _k2, digest of the set, n, set, keys, bits, fp)."""
+    shipped = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+    names = ["_id", "_k", "_k2", "_set", "n", "set", "keys", "bits", "fp"]
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+    def run(batches):
+        frequent = shipped.value
+        for batch in batches:
+            for part in chunks(batch, "_text"):
+                all_ = part.column(3).to_pylist()
+                found = [hashes(t) for t in all_]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns[:3],
+                        pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()),
+                        pa.array([len(h) for h in found], pa.int64()),
+                        lists(found),
+                        lists([prefix(h, frequent) for h in found]),
+                        pa.array([bitmap(h) for h in found], pa.binary()),
+                        pa.array(np.array([fingerprint(t, 1) for t in all_], np.uint64).view(np.int64)),
+                    ],
+                    names=names,
+                )
+
+    return texts.mapInArrow(
+        run, "_id bigint, _k bigint, _k2 bigint, _set binary, n bigint, set array<bigint>, keys array<bigint>, bits binary, fp bigint"
+    )
+
+
+def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.ndarray, steps: range):
+    """Pairs so many steps apart in rows sorted by key that differ in ``apart`` and may be alike, as places, piece by piece."""
+    heads, tails, held = [], [], 0
     room = sizes - places  # shingles from the key on: no more can be shared, if the key is the first that is
     for step in steps:
         at = np.flatnonzero(keys[step:] == keys[:-step])
@@ -109,7 +162,12 @@ def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.n
         ok = (np.minimum(room[at], room[to]) >= least) & (apart[at] != apart[to])
         heads.append(at[ok])
         tails.append(to[ok])
-    return np.concatenate(heads), np.concatenate(tails)
+        held += int(ok.sum())
+        if held >= HELD_PAIRS:
+            yield np.concatenate(heads), np.concatenate(tails)
+            heads, tails, held = [], [], 0
+    if held:
+        yield np.concatenate(heads), np.concatenate(tails)
 
 
 def bucket_pairs(keyed: DataFrame, low: int, high: int) -> DataFrame:
@@ -117,19 +175,22 @@ def bucket_pairs(keyed: DataFrame, low: int, high: int) -> DataFrame:
     ``low``, up to ``high`` places apart in their bucket; and, b null, the nodes of buckets with more distant pairs."""
 
     def emit(keys, sizes, places, nodes, groups):
-        a, b = offered(keys, sizes, places, groups, range(low + 1, high + 1))
+        names = ["key", "n", "p", "a", "b"]
+
+        def batch(a, b):
+            pairs = np.unique(np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])]), axis=1)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[0]), pa.array(pairs[1])], names=names)
+
+        for a, b in offered(keys, sizes, places, groups, range(low + 1, high + 1)):
+            yield batch(a, b)
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         of = np.diff(np.concatenate((starts, [len(keys)])))
         late = np.flatnonzero(np.repeat(of, of) > max(high, SMALL))
         if low == 0:  # small buckets are done at once
             small = np.flatnonzero(np.repeat(of, of) <= SMALL)
-            more = offered(keys[small], sizes[small], places[small], groups[small], range(high + 1, SMALL))
-            a, b = np.concatenate((a, small[more[0]])), np.concatenate((b, small[more[1]]))
-        pairs = np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])])
-        pairs = np.unique(pairs, axis=1)
-        none = pa.nulls(pairs.shape[1], pa.int64())
-        names = ["key", "n", "p", "a", "b"]
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[0]), pa.array(pairs[1])], names=names)
+            for a, b in offered(keys[small], sizes[small], places[small], groups[small], range(high + 1, SMALL)):
+                yield batch(small[a], small[b])
         kept = [pa.array(x[late]) for x in (keys, sizes, places, nodes)]
         yield pa.RecordBatch.from_arrays([*kept, pa.nulls(len(late), pa.int64())], names=names)
 
@@ -153,77 +214,97 @@ def bucket_pairs(keyed: DataFrame, low: int, high: int) -> DataFrame:
     return sorted_.mapInArrow(run, "key bigint, n bigint, p bigint, a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts (_id, _text) are similar."""
-    a = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_text_a"))
-    b = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "_text_a", "_text_b")
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps don't rule out that they are alike."""
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
 
     def run(batches):
-        last: tuple = (None, None)
         for batch in batches:
-            for part in chunks(batch, "_text_b"):
-                keep = []
-                for left, right in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if last[0] != right:
-                        last = (right, shingles(right))
-                    keep.append(similarity(shingles(left), last[1]) >= SIMILARITY)
-                mask = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
+            n, left, right = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            most = [x * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6 for x in n]
+            mask = pa.array([differences(x, y) <= m for x, y, m in zip(left, right, most, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of every document that has a near copy; component is the smallest id of its group."""
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    texts = texts.where(F.col("_id").isNotNull() & F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    shipped = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
-
-    def make():
-        frequent = shipped.value
-
-        def of(values):
-            out = []
-            for text in values.to_pylist():
-                found = hashes(text)
-                out.append((xxhash.xxh3_128_digest(found.tobytes()), len(found), prefix(found, frequent).view(np.int64)))
-            return [[x[i] for x in out] for i in range(3)]
-
-        return of
-
-    fields = [T.StructField("_set", T.BinaryType()), T.StructField("_n", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType()))]
-    rows = written(arrow_map(texts, "_text", fields, make).select("_id", "_set", "_n", "_keys"), "near-rows")
-    first = written(rows.groupBy("_set").agg(F.min("_id").alias("node")), "near-nodes")
-    placed = rows.join(first, "_set")
-    alike = written(placed.where("_id <> node").select(F.col("node").alias("a"), F.col("_id").alias("b")), "near-links")
-    nodes = placed.where("_id = node").select("node", F.col("_n").alias("n"), F.posexplode("_keys").alias("p", "key"))
-    keyed = nodes.select("key", "n", F.col("p").cast("long").alias("p"), "node", F.col("node").alias("component"))
-    low, high, seen = 0, STEPS, None
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar."""
+    left = written(possible(pairs, nodes), "near-possible")
+    needed = left.select("a").union(left.select("b")).distinct()
+    sets = nodes.select("node", "n", "set")
+    few = needed.count() <= BROADCAST_NODES
+    sets = sets.join(F.broadcast(needed) if few else needed, F.col("node") == F.col("a"), "left_semi")
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    alike = common >= SIMILARITY * (F.col("n_a") + F.col("n_b") - common) - 1e-9
+    return left.join(a, "a").join(b, "b").where(alike).select("a", "b")
+
+
+def doc_key(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that tell rows apart by id and text."""
+    both = [F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")]
+    return [F.xxhash64(*both).alias("_k"), F.xxhash64(F.lit("second"), *both).alias("_k2")]
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _k, _k2, keep) of every document that has a near copy; keep is (id, _k, _k2) of the one that stays."""
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), *doc_key(id_col, text_col), text.alias("_text"))
+    texts = texts.where(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    # the number is part of the table once that is written
+    rows = written(described(texts).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    first = written(rows.groupBy("_set").agg(F.min("row").alias("node")), "near-nodes")
+    same = rows.select("_set", "row").join(first, "_set").where("row <> node")
+    alike = written(same.select(F.col("node").alias("a"), F.col("row").alias("b")), "near-links")
+    firsts = first.select(F.col("node").alias("row"))
+    nodes = rows.join(firsts, "row", "left_semi").withColumnRenamed("row", "node")
+    # SimHash: nodes of one fingerprint with the first of them, and that with the first of near fingerprints
+    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    star = nodes.select("fp", F.col("node").alias("b")).join(of_fp.withColumnRenamed("node", "a"), "fp").where("a <> b")
+    pairs = simhash_links(of_fp).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(star.select("a", "b"))
+    seen = written(pairs.distinct(), "near-pairs")
+    alike = alike.union(written(verified(seen, nodes), "near-links"))
+    groups = components(alike)
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("p", "key")).select("key", "n", F.col("p").cast("long").alias("p"), "node")
+    keyed = with_component(keyed, groups)
+    low, high = 0, STEPS
     while True:
         found = written(bucket_pairs(keyed, low, high), "near-buckets")
-        pairs = found.where("key is null").select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        alike = alike.union(written(verified(pairs, texts), "near-links"))
-        groups = components(alike)
-        late = found.where("key is not null").select("key", "n", "p", F.col("a").alias("node"))
-        late = late.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = written(found.where("key is null").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "near-pairs")
+        seen = seen.union(pairs)
+        new = written(verified(pairs, nodes), "near-links")
+        if not new.isEmpty():
+            alike = alike.union(new)
+            groups = components(alike)
+        late = with_component(found.where("key is not null").select("key", "n", "p", F.col("a").alias("node")), groups)
         mixed = late.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
         keyed = written(late.join(mixed.select("key"), "key"), "near-open")
         left = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
         if left.c is None:
-            return groups
+            break
         low, high = high, left.c if left.pairs <= AT_ONCE else 2 * high
+    members = rows.select("_id", "_k", "_k2", "row").join(groups.withColumnRenamed("node", "row"), "row")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_k").alias("k"), F.col("_k2").alias("k2"))
+    keep = members.groupBy("component").agg(F.min(order).alias("keep"))
+    return members.join(keep, "component").select("_id", "_k", "_k2", "keep")
+
+
+def with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one of each group of near copies."""
-    gone = near_copies(docs, id_col, text_col).where("component < node").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = near_groups(docs, id_col, text_col).where((F.col("_k") != F.col("keep.k")) | (F.col("_k2") != F.col("keep.k2")))
+    gone = gone.select(F.col("_k").alias("_gone"), F.col("_k2").alias("_gone2")).distinct()
+    k, k2 = doc_key(id_col, text_col)
+    return docs.join(gone, (k == gone["_gone"]) & (k2 == gone["_gone2"]), "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group of near copies."""
     return near_dedup(docs)

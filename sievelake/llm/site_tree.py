@@ -2,32 +2,44 @@
 
 Every page is read into a tree of elements. The trees of one host are merged: elements with the same
 presentation path (tag and class, id or role of the element and its ancestors) are one node of the
-site style tree. A node's content is what its pages show there, block by block. If a block stands
-on c of the node's m pages, its entropy over the pages is log(c) / log(m): 0 for content of one
-page, 1 for content of all. A node's importance is one minus the mean entropy of its different
-blocks: high where pages differ (articles), low where they agree (menus, footers, notices).
-
-The trees of all hosts are merged into one tree in the same way. A node counts with its importance in the
-tree of its host if that has enough pages there, and with that of all hosts otherwise, so a host with few
-pages borrows from the rest and a host's own notice goes however many hosts have another at that place.
-Presentation itself is evidence, too: elements and names that stand for menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments have importance 0, and the element that stands
-for the main content (``article`` or ``main``) has importance 1, as have nodes within it that no such
-name covers.
-
-From each page the branches of low importance are removed. If it has an element for the main
-content, only what stands in it is kept. What is left is the text: references decoded, white
-space within a block turned into one space, blocks joined by a line break in page order.
-
-Markup may be broken: end tags may be missing or stand alone, quotes, comments and elements may be
-unclosed. Null html counts as empty, and an empty page gives an empty text. A page without url
-belongs to the host ''. Rows that repeat an id are pages of their own. Other columns are ignored.
+site style tree. All elements go into it, menus and articles alike.
+
+A content node's features are the phrases of the text that stands in it. A phrase that c pages show
+at that node has entropy log(c); a node's entropy is the mean over its different phrases, by words, and
+its importance e to the power of minus that: 1 where every page has phrases of its own, 1/c where
+each stands on c pages. Phrases are counted over the pages of all hosts, so what a host repeats and what many
+hosts repeat both tell, and a host with a single page borrows from the rest. A presentation node's features are
+the sequences of its child elements; its importance is the entropy of their distribution as a
+share of the highest possible. Both are combined up the tree: of an element with l sequences the
+presentation counts ``1 - DECAY**l`` and the content of its whole branch the rest.
+
+What little a node shows on a host is not left to speak alone: its entropy is a mean with that of
+the node on all hosts, and this with that of the branch around it, which count as ``BORROWED`` words.
+A node is removed from a host's pages if its importance is under ``LEAST_IMPORTANCE`` times that of the
+most important node that holds a tenth of the host's text. So pages that are copies of each other lose
+nothing by that.
+
+Not everything that isn't the main text repeats: adverts and reader comments may be different on
+each page. So elements and names that stand for menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments are removed, too (``names=False`` leaves all to the tree). A name never
+counts on ``html`` or ``body``, nor where it only says what a layout has (``no-sidebar``, ``with-header``),
+nor for the header of an article; and if nothing else is left or the main element is nowhere else, forms
+and named elements count as plain wrappers. Where an element that stands for the main content
+(``article`` or ``main``) holds at least half of the text that is left, only what stands in it is kept.
+
+What is left is the text: references decoded, white space within a block turned into one space, blocks
+joined by a line break in page order. Markup may be broken: end tags may be missing or stand alone, quotes,
+comments and elements may be unclosed. From ``DEPTH`` levels on elements share a node. Null html counts as
+empty, and an empty page gives an empty text. A page without url belongs to the host ''. Rows that repeat an
+id are pages of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -36,11 +48,17 @@ from pyspark.sql import functions as F
 
 from .common import chunks, written
 
-#: Nodes below this importance are removed.
-LEAST_IMPORTANCE = 0.3
-#: A node's entropy says something from so many pages on.
-LEAST_PAGES = 20
-#: Low nodes of hosts that are broadcast at most (with the host's name, under 100 bytes each); more are joined by a shuffle.
+#: Nodes below this share of the importance of a host's main nodes are removed.
+LEAST_IMPORTANCE = 0.4
+#: Share of a host's text that a node must hold to be the measure for the others.
+MAIN_SHARE = 0.1
+#: Words that the entropy of the same node on all hosts, or of the branch around it, counts for.
+BORROWED = 50.0
+#: Weight of the content under an element by the number of its child sequences.
+DECAY = 0.9
+#: Levels of the tree that are told apart.
+DEPTH = 64
+#: Removed nodes that are broadcast at most (with the host's name, under 100 bytes each); more are joined page by page.
 BROADCAST_ROWS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,11 +74,13 @@ INLINE = frozenset(
 NOISE = frozenset("nav header footer aside form button select textarea input dialog menu".split()) | HIDDEN
 MAIN = frozenset(("article", "main"))
 NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|footer|masthead|"
+    r"(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|footer|masthead|"
     r"side-?bar\w*|aside|widget\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
     r"signup|login|comments?|comment-?list|disqus|replies|reply|discussion|share|sharing|social|related|recommended|"
-    r"pagination|pager|search|form|hidden|copyright|disclaimer|toolbar|tags|meta)(?=$|[\s_-])"
+    r"pagination|pager|search|form|hidden|copyright|disclaimer|toolbar|tags|meta)(?=$|[_-])"
 )
+#: Names that only say what a layout has, and those of the head of an article.
+LAYOUT_NAMES = re.compile(r"(?:^|[_-])(?:no|without|with|has|have|layout|wrap|wrapper|container)(?=$|[_-])|(?:^|[_-])(?:article|post|entry|story|content)[_-](?:header|meta)$")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: A start tag of the key's kind ends an open element of these kinds (within the nearest of the last ones).
 CLOSES = {
@@ -71,28 +91,36 @@ CLOSES = {
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
+    "p": (("p",), ("table", "td", "th", "button", "object")),
 }
 
 _markup = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)",
     re.S,
 )
-_attribute = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_attribute = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+""")
+_telling = re.compile("class|id|role|itemprop|hidden", re.I)
 _digits = re.compile(r"\d{3,}")
+_number = re.compile(r"\d+")
+_phrase = re.compile(r"[.!?;:]+(?:\s+|\Z)|\s*[©·|•]\s*")
 
-NEUTRAL, NOISY, CENTRAL = 0, 1, 2
+NEUTRAL, WRAPPER, NOISY, CENTRAL = 0, 1, 2, 3
+
+
+def noisy_name(names: str) -> bool:
+    return any(NOISE_NAMES.search(n) and not LAYOUT_NAMES.search(n) for n in names.lower().split())
 
 
 def prior(tag: str, names: dict[str, str], in_main: bool) -> int:
-    """What the presentation of an element says about its content."""
+    """What the presentation of an element says about its content: WRAPPER may be noise or hold the page."""
     if tag in NOISE and not (tag == "header" and in_main):
-        return NOISY
-    if names:
+        return WRAPPER if tag == "form" else NOISY
+    if names and tag not in ("html", "body"):
         if "hidden" in names or names.get("role", "").lower() in NOISE_ROLES:
             return NOISY
-        for kind in ("class", "id"):
-            if kind in names and NOISE_NAMES.search(names[kind].lower()):
-                return NOISY
+        if noisy_name(names.get("class", "")) or noisy_name(names.get("id", "")):
+            return WRAPPER
         if names.get("role", "").lower() == "main" or names.get("itemprop", "").lower() == "articlebody":
             return CENTRAL
     return CENTRAL if tag in MAIN else NEUTRAL
@@ -108,34 +136,46 @@ def closing(tag: str) -> re.Pattern:
     return _closing[tag]
 
 
+class Element:
+    __slots__ = ("tag", "node", "parent", "depth", "noise", "central", "kids", "block")
+
+    def __init__(self, tag: str, node: int, parent: Element | None, noise: int, central: bool):
+        self.tag, self.node, self.noise, self.central, self.kids = tag, node, noise, central, 0
+        self.parent, self.depth, self.block = parent, 0, self
+
+
 class Page:
-    """Blocks of a page in order: (node, text, noisy, in the main content, nodes of the ancestors)."""
+    """Blocks of a page in order, each with its element, and the child sequences of its elements."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[int, str, bool, bool, tuple]] = []
+        self.blocks: list[tuple[Element, str]] = []
+        self.sequences: list[tuple[int, int]] = []
         self.text: list[str] = []
-        #: Open elements: (tag, node, noisy, central, nodes from the root on as a linked list)
-        self.open: list[tuple] = [("", 0, False, False, None)]
+        self.open = [Element("", 0, None, NEUTRAL, False)]
+        #: Places of the open elements of each kind.
+        self.at: dict[str, list[int]] = {}
         self.block_of = self.open[0]
         at = 0
         find = _markup.search
+        skipped: dict[str, int] = {}  # elements that are closed nowhere after this place
         while m := find(source, at):
             if m.start() > at:
                 self.characters(source[at : m.start()])
             at = m.end()
-            tag = m[2] or m[5]
-            if not tag:
+            if not m[2]:
                 continue
-            tag = tag.lower()
-            if m[1] or m[4]:
+            tag = m[2].lower()
+            if m[1]:
                 self.end(tag)
             elif tag in HIDDEN:
                 # skipped as a whole, so that a block goes on after it; unclosed, a script or style lasts to the end
-                close = closing(tag).search(source, at)
+                close = None if tag in skipped else closing(tag).search(source, at)
+                if not close:
+                    skipped[tag] = at
                 if close or tag in RAW:
                     at = close.end() if close else len(source)
             else:
-                self.start(tag, m[3] or m[6] or "")
+                self.start(tag, m[3])
                 if tag in RAW:
                     close = closing(tag).search(source, at)
                     self.characters(source[at : close.start() if close else len(source)])
@@ -143,15 +183,11 @@ class Page:
                     self.end(tag)
         if at < len(source):
             self.characters(source[at:])
-        self.flush()
+        self.cut(1)
 
     def characters(self, raw: str) -> None:
         if not self.text:
-            self.block_of = self.open[-1]
-            for element in reversed(self.open):
-                self.block_of = element
-                if element[0] not in INLINE or element[2] != self.open[-1][2]:
-                    break
+            self.block_of = self.open[-1].block
         self.text.append(raw)
 
     def flush(self) -> None:
@@ -159,48 +195,71 @@ class Page:
             text = " ".join(entities.unescape("".join(self.text)).split())
             self.text = []
             if text:
-                _, node, noisy, central, chain = self.block_of
-                self.blocks.append((node, text, noisy, central, chain))
+                self.blocks.append((self.block_of, text))
+
+    def cut(self, to: int) -> None:
+        """Close all elements from a place on."""
+        self.flush()
+        while len(self.open) > to:
+            element = self.open.pop()
+            self.at[element.tag].pop()
+            if element.kids:
+                self.sequences.append((element.node, element.kids))
+
+    def last(self, tags: tuple) -> int:
+        """Place of the innermost open element of these kinds, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag not in INLINE:
-            self.flush()
-            if any(e[0] == "p" for e in self.open):
-                self.end("p", quiet=True)
-        elif tag == "br":
+        if tag == "br":
             self.characters(" ")
             return
-        if tag in CLOSES:
-            kinds, within = CLOSES[tag]
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k][0] in within:
-                    break
-                if self.open[k][0] in kinds:
-                    self.flush()
-                    del self.open[k:]
-                    break
-        names = {m[1].lower(): (m[2] or "").strip("\"'") for m in _attribute.finditer(attributes)} if attributes else {}
+        if tag not in INLINE:
+            self.flush()
+            self.close("p")
+        if tag in CLOSES and tag != "p":
+            self.close(tag)
         if tag in VOID:
             return
-        _, node, noisy, central, chain = self.open[-1]
-        kind = prior(tag, names, central)
-        if kind == NOISY and not noisy:
-            self.flush()
+        names = {}
+        if attributes and _telling.search(attributes):
+            for m in _attribute.finditer(attributes):
+                names.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+        parent = self.open[-1]
+        kind = prior(tag, names, parent.central)
+        element = Element(tag, parent.node, parent, max(parent.noise, kind) if kind in (WRAPPER, NOISY) else parent.noise, parent.central or kind == CENTRAL)
+        element.depth = parent.depth + 1
         label = _digits.sub("#", f"{tag} {names.get('class', '')} {names.get('id', '')} {names.get('role', '')}")
-        node = xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), node) >> 1
-        self.open.append((tag, node, noisy or kind == NOISY, central or kind == CENTRAL, (node, chain)))
-
-    def end(self, tag: str, quiet: bool = False) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                if tag not in INLINE or self.open[k][2] != self.open[k - 1][2]:
-                    self.flush()
-                del self.open[k:]
-                return
-            if quiet and self.open[k][0] in ("table", "td", "th", "button", "object"):
-                return
-        if not quiet and tag not in INLINE:
+        if element.depth <= DEPTH:
+            element.node = xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), parent.node) >> 1
+        if tag in INLINE and element.noise == parent.noise:
+            element.block = parent.block
+        else:
             self.flush()
+            parent.kids = xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), parent.kids) >> 1 | 1
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append(element)
+
+    def close(self, tag: str) -> None:
+        """What the start of an element closes."""
+        kinds, within = CLOSES[tag]
+        place = self.last(kinds)
+        if place and place > self.last(within):
+            self.cut(place)
+
+    def end(self, tag: str) -> None:
+        places = self.at.get(tag)
+        if not places:
+            if tag not in INLINE:
+                self.flush()
+            return
+        k = places[-1]
+        if tag in INLINE and all(e.block is not e for e in self.open[k:]):
+            for element in self.open[k:]:
+                self.at[element.tag].pop()
+            del self.open[k:]
+        else:
+            self.cut(k)
 
 
 def host_of(url: Column) -> Column:
@@ -209,14 +268,6 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
-def nodes_of(chain: tuple | None) -> list[int]:
-    out = []
-    while chain:
-        out.append(chain[0])
-        chain = chain[1]
-    return out
-
-
 def page_rows(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -226,78 +277,108 @@ def page_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def node_blocks(pages: DataFrame) -> DataFrame:
-    """(host, node, block) of every different block that a page shows at a node, once per page;
-    block is a hash, 0 stands for the page itself, and -1 for a page that shows something below the node."""
+def phrases(text: str) -> list[tuple[int, int]]:
+    """(hash, words) of the phrases of a block; numbers are alike."""
+    out = []
+    for phrase in _phrase.split(_number.sub("#", text)):
+        if n := len(phrase.split()):
+            out.append((xxhash.xxh64_intdigest(phrase.encode("utf-8", "replace")) >> 1, n))
+    return out
+
+
+#: Kinds of features: a phrase of a node, a child sequence of it, a node with text under it, its parent.
+PHRASE, SEQUENCE, UNDER, PARENT = range(4)
+
+
+def features(source: str) -> set[tuple[int, int, int, int]]:
+    """(node, kind, feature, words) of a page, each once."""
+    page = Page(source)
+    out = {(node, SEQUENCE, kids, 0) for node, kids in page.sequences}
+    known: set[int] = set()
+    for element, text in page.blocks:
+        out.update((element.node, PHRASE, h, n) for h, n in phrases(text))
+        if element.node not in known:
+            known.add(element.node)
+            up = element
+            while up.depth > DEPTH:
+                up = up.parent
+            while up.parent is not None:
+                out.add((up.node, UNDER, element.node, 0))
+                out.add((up.node, PARENT, up.parent.node, 0))
+                up = up.parent
+    return out
+
+
+def site_features(pages: DataFrame) -> DataFrame:
+    """(host, node, kind, feature, words, c): on how many pages of a host a node shows a feature."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "html"):
-                hosts, nodes, hashes = [], [], []
+                counts: Counter = Counter()
                 for source, host in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    seen = set()
-                    for node, text, noisy, _, chain in Page(source).blocks:
-                        if not noisy:
-                            while chain and (chain[0], -1) not in seen:
-                                seen.add((chain[0], -1))
-                                chain = chain[1]
-                            seen.add((node, xxhash.xxh64_intdigest(text.encode()) >> 1 | 1))
-                            seen.add((node, 0))
-                    hosts += [host] * len(seen)
-                    nodes += [n for n, _ in seen]
-                    hashes += [h for _, h in seen]
-                columns = [pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(hashes, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "block"])
-
-    return pages.mapInArrow(run, "host string, node bigint, block bigint")
-
-
-def importance(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pages, importance) from the number of pages of each block at each node."""
-    content = F.col("block") > 0
-    per_node = counts.groupBy(*keys).agg(
-        F.max(F.when(F.col("block") == 0, F.col("c"))).alias("pages"),
-        F.sum(F.when(content, F.log("c"))).alias("logs"),
-        F.count(F.when(content, 1)).alias("blocks"),
-    )
-    return per_node.where("blocks > 0").select(
-        *keys,
-        "pages",
-        F.when(F.col("pages") < 2, 1.0).otherwise(1 - F.col("logs") / F.col("blocks") / F.log("pages")).alias("importance"),
-    )
-
-
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node) of the nodes to remove by their content: the host's own where it has enough pages there, else that of all."""
-    counts = written(node_blocks(pages).groupBy("host", "node", "block").agg(F.count(F.lit(1)).alias("c")), "site-tree")
-    of_host = importance(counts, ["host", "node"]).where(F.col("pages") >= LEAST_PAGES)
-    own = of_host.select("host", "node", (F.col("importance") < LEAST_IMPORTANCE).alias("own_low"))
-    whole = importance(counts.groupBy("node", "block").agg(F.sum("c").alias("c")), ["node"])
-    low = whole.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    low = low.select("node", F.lit(True).alias("all_low"))
-    there = counts.select("host", "node").distinct().join(own, ["host", "node"], "left").join(low, "node", "left")
-    return there.where(F.coalesce("own_low", "all_low", F.lit(False))).select("host", "node")
-
+                    counts.update([(host if kind == PHRASE else "", node, kind, f, n) for node, kind, f, n in features(source)])
+                keys = list(counts)
+                columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(list(counts.values()), pa.int64())], names=["host", "node", "kind", "feature", "words", "c"]
+                )
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every page."""
+    found = pages.mapInArrow(run, "host string, node bigint, kind int, feature bigint, words bigint, c bigint")
+    return found.groupBy("host", "node", "kind", "feature", "words").agg(F.sum("c").alias("c"))
+
+
+def removed_nodes(tree: DataFrame) -> DataFrame:
+    """(host, node) of the nodes to remove, from the features of the site style tree."""
+    of_host = tree.where(F.col("kind") == PHRASE)
+    overall = of_host.groupBy("node", "feature", "words").agg(F.sum("c").alias("pages"))
+    shown = [F.sum(F.col("words") * F.col("c")).alias("shown"), (F.sum(F.col("words") * F.log("pages")) / F.sum("words")).alias("entropy")]
+    own = of_host.join(overall, ["node", "feature", "words"]).groupBy("host", "node").agg(*shown)
+    whole = overall.withColumn("c", F.col("pages")).groupBy("node").agg(F.sum("words").alias("words"), *shown)
+    whole = written(whole, "site-nodes")
+    # presentation: entropy of the child sequences of a node as a share of the highest possible
+    styles = tree.where(F.col("kind") == SEQUENCE).groupBy("node", "feature").agg(F.sum("c").alias("c")).groupBy("node").agg(
+        F.count(F.lit(1)).alias("styles"), F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc")
+    )
+    spread = F.when(F.col("m") < 2, 1.0).otherwise(1 - F.col("clogc") / F.col("m") / F.log("m"))
+    styles = styles.select("node", F.pow(F.lit(DECAY), "styles").alias("rest"), spread.alias("spread"))
+    # content of the branch under a node, and both combined
+    under = tree.where(F.col("kind") == UNDER).select("node", F.col("feature").alias("leaf")).distinct()
+    branch = under.join(whole.withColumnRenamed("node", "leaf"), "leaf").groupBy("node").agg((F.sum(F.col("words") * F.col("entropy")) / F.sum("words")).alias("entropy"))
+    rest = F.coalesce("rest", F.lit(1.0))
+    both = (1 - rest) * F.coalesce("spread", F.lit(0.0)) + rest * F.exp(-F.col("entropy"))
+    around = branch.join(styles, "node", "left").select(F.col("node").alias("parent"), (-F.log(F.greatest(both, F.lit(1e-9)))).alias("around"))
+    parents = tree.where(F.col("kind") == PARENT).select("node", F.col("feature").alias("parent")).distinct()
+    mixed = lambda own, up: (F.col("shown") * F.col(own) + BORROWED * up) / (F.col("shown") + BORROWED)
+    up = parents.join(around, "parent").select("node", "around")
+    every = whole.join(up, "node", "left").select("node", mixed("entropy", F.coalesce("around", "entropy")).alias("everywhere"))
+    nodes = written(own.join(every, "node").select("host", "node", "shown", mixed("entropy", F.col("everywhere")).alias("entropy")), "site-importance")
+    total = nodes.groupBy("host").agg(F.sum("shown").alias("total"), (F.sum(F.col("shown") * F.col("entropy")) / F.sum("shown")).alias("mean"))
+    large = nodes.join(total, "host").groupBy("host").agg(
+        F.coalesce(F.min(F.when(F.col("shown") >= MAIN_SHARE * F.col("total"), F.col("entropy"))), F.min("mean")).alias("least")
+    )
+    return nodes.join(large, "host").where(F.col("entropy") - F.col("least") > -math.log(LEAST_IMPORTANCE)).select("host", "node")
+
+
+def extract(pages: DataFrame, names: bool = True) -> DataFrame:
+    """(page_id, url, text) of every page; without ``names`` the tree alone decides."""
     rows = page_rows(pages)
-    low = written(low_nodes(rows), "low-nodes")
-    # Nodes of a tree with at least LEAST_PAGES pages: templates, not pages. Beyond the bound they are joined by a shuffle.
+    tree = written(site_features(rows), "site-tree")
+    low = written(removed_nodes(tree), "removed-nodes")
     n_low = low.count()
-    per_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
-    if n_low:
-        per_host = F.broadcast(per_host) if n_low <= BROADCAST_ROWS else per_host
-        rows = rows.join(per_host, "host", "left").select("page_id", "url", "html", "low")
+    if n_low <= BROADCAST_ROWS:
+        # nodes of templates, not of pages, and a checked number of them
+        per_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
+        rows = rows.join(F.broadcast(per_host), "host", "left").select("page_id", "url", "html", "low")
     else:
-        rows = rows.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("low"))
+        rows = with_own_nodes(rows, low)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "html"):
                 texts = []
                 for source, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    texts.append(main_text(source, frozenset(low or ())))
+                    texts.append(main_text(source, frozenset(low or ()), names))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
                 )
@@ -305,18 +386,38 @@ def extract(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page_id bigint, url string, text string")
 
 
-def main_text(source: str, low: frozenset) -> str:
+def with_own_nodes(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """``rows`` with the removed nodes that a page itself has, joined by the digest of the page."""
+    keyed = rows.withColumn("digest", F.sha2(F.concat_ws("\n", "host", "html"), 256))
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "html"):
+                found = []
+                for digest, host, source in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
+                    found += [(digest, host, node) for node in {e.node for e, _ in Page(source).blocks}]
+                kinds = (pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], names=["digest", "host", "node"])
+
+    nodes = keyed.select("digest", "host", "html").mapInArrow(run, "digest string, host string, node bigint").distinct()
+    own = nodes.join(low, ["host", "node"], "left_semi").groupBy("digest").agg(F.collect_list("node").alias("low"))
+    return keyed.join(own, "digest", "left").select("page_id", "url", "html", "low")
+
+
+def main_text(source: str, low: frozenset, names: bool = True) -> str:
     """Text of a page without the branches of low importance."""
     blocks = Page(source).blocks
-    has_main = any(central and not noisy for _, _, noisy, central, _ in blocks)
-    out = []
-    for _, text, noisy, central, chain in blocks:
-        if noisy or (has_main and not central):
-            continue
-        if not central and low and any(n in low for n in nodes_of(chain)):
-            continue
-        out.append(text)
-    return "\n".join(out)
+    if names:
+        clear = [(e, t) for e, t in blocks if e.noise == NEUTRAL]
+        if not clear or any(e.central and e.noise < NOISY for e, _ in blocks) and not any(e.central for e, _ in clear):
+            clear = [(e, t) for e, t in blocks if e.noise < NOISY]
+        blocks = clear
+    left = [(e, t) for e, t in blocks if e.node not in low]
+    if names:
+        main = [(e, t) for e, t in left or blocks if e.central]
+        if 2 * sum(len(t) for _, t in main) >= sum(len(t) for _, t in left or main):
+            left = main or left
+    return "\n".join(t for _, t in left)
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,13 +65,13 @@ def test_frames(spark):
     docs = spark.createDataFrame(
         [
             (1, "Before. " + item.upper() + " After.", 0), (2, "the quick brown fax jumps over the lazy  dog -- again and agin and again", 0),
-            (3, "nothing here", 0), (4, None, 0), (5, "", 0), (6, "filler words " * 20_000 + item, 0), (1, item, 0), (7, "the quick brown fox jumps", 0),
+            (3, "nothing here", 0), (4, None, 0), (5, "", 0), (9, "Short!", 0), (None, item, 0), (6, "filler words " * 20_000 + item, 0), (1, item, 0), (7, "the quick brown fox jumps", 0),
         ],
         "doc_id bigint, text string, item_id int",
     )
     bench = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "short"), (14, item)], "item_id bigint, text string")
-    got = sorted((r.doc_id, r.item_id, r.distance) for r in D.leaks(docs, bench).collect())
-    assert got == [(1, 10, 0), (1, 10, 0), (1, 14, 0), (1, 14, 0), (2, 10, 2), (2, 14, 2), (6, 10, 0), (6, 14, 0)]
+    got = sorted((r.doc_id or -1, r.item_id, r.distance) for r in D.leaks(docs, bench).collect())
+    assert got == [(-1, 10, 0), (-1, 14, 0), (1, 10, 0), (1, 10, 0), (1, 14, 0), (1, 14, 0), (2, 10, 2), (2, 14, 2), (6, 10, 0), (6, 14, 0), (9, 13, 0)]
     assert D.leaks(docs, bench.limit(0)).collect() == []
     assert D.leaks(docs.limit(0), bench).collect() == []
 
@@ -89,7 +89,19 @@ def test_items_go_in_blocks(spark, monkeypatch):
 def test_stage_drops_leaks_and_keeps_columns(spark, tmp_path):
     item = "a sentence that is long enough to be a test item of its own right"
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.createDataFrame([(1, "x " + item, "p"), (2, "clean", "q"), (None, None, "r")], "doc_id bigint, text string, lang string")
+    rows = [(1, "x " + item, "p"), (1, "clean, but with the id of a leak", "s"), (2, "clean", "q"), (None, None, "r"), (None, item, "t")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, text string, lang string, item_id int")
     out = D.stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
-    assert sorted(r.lang for r in out.collect()) == ["q", "r"]
+    assert sorted(r.lang for r in out.collect()) == ["q", "r", "s"]
+    assert D.stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_several_blocks_and_groups_find_the_same(spark, sf, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(map(tuple, D.leaks(docs, bench).collect()))
+    monkeypatch.setattr(D, "BLOCK_CHARS", 1500)
+    monkeypatch.setattr(D, "GROUP_BYTES", 50_000)
+    assert len(list(D.blocks(bench))) > 2
+    assert whole and sorted(map(tuple, D.leaks(docs, bench).collect())) == whole
+    assert D.decontaminate(docs, bench).count() == docs.count() - len({r[0] for r in whole})

@@ -47,3 +47,8 @@ def test_frames_with_nulls_ties_and_clashing_columns(spark):
     assert L.identify(docs.limit(0), model()).collect() == []
     nothing = L.fit(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in L.identify(docs, nothing).collect()} <= {"und"}
+
+
+def test_stage_without_labels_keeps_all(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id bigint, text string, lang string")
+    assert L.stage(spark, docs, "").count() == 2

@@ -5,11 +5,16 @@ from sievelake.llm import near_dedup as N
 
 def brute(rows):
     """Smallest id of every document's group, by the similarity of all pairs."""
-    sets = [(i, N.shingles(t)) for i, t in rows]
+    def shingles(t):
+        words = t.lower().split()
+        width = min(5, len(words))
+        return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+    sets = [(i, shingles(t)) for i, t in rows]
     group = {i: i for i, _ in rows}
     for x, (a, left) in enumerate(sets):
         for b, right in sets[x + 1 :]:
-            if group[a] != group[b] and N.similarity(left, right) >= N.SIMILARITY:
+            if group[a] != group[b] and 5 * len(left & right) >= 4 * max(1, len(left | right)):
                 low, high = sorted((group[a], group[b]))
                 group = {k: low if v == high else v for k, v in group.items()}
     return {k: v for k, v in group.items() if list(group.values()).count(v) > 1}
@@ -17,7 +22,7 @@ def brute(rows):
 
 def found(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    return {r.node: r.component for r in N.near_copies(docs).collect()}
+    return {r._id: r.keep.id for r in N.near_groups(docs).collect()}
 
 
 def text(rng, n):
