@@ -7,7 +7,8 @@ identical: a backslash goes into every ``<|`` (and one more into every ``<\|``,
 the escape can be undone whatever the text holds. In a role, line breaks become ``<|nl|>``, which
 escaped content can't contain.
 
-The parser also gives the loss mask: the spans of assistant texts in the formatted string.
+The parser also gives the loss mask: the spans of assistant texts in the formatted string. What the mask covers is
+cut out of the formatted string by it (:func:`under_mask`) and unescaped.
 
 Rows are ordered by turn, then role and text, nulls first, so ties and repeated rows have one
 defined place. Null text and null role count as empty; a null conversation id is a conversation of
@@ -50,7 +51,7 @@ def render(turns: Column, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns of a formatted string: array of (role, text), unescaped, and raw (the text as it stands there).
+    """Turns of a formatted string: array of (role, text), unescaped, and raw_role and raw (both as they stand there).
 
     Grammar: the string is a sequence of blocks, each starting with ``<|im_start|>``; a block's role
     ends at its first line break, its text at the first ``<|im_end|>`` after that.
@@ -61,7 +62,7 @@ def parse(formatted: Column) -> Column:
     def turn(block: Column) -> Column:
         role = F.substring_index(block, "\n", 1)
         raw = F.substring_index(F.substr(block, F.char_length(role) + 2), "<|im_end|>", 1)
-        return F.struct(unescape_role(role).alias("role"), unescape(raw).alias("text"), raw.alias("raw"))
+        return F.struct(unescape_role(role).alias("role"), unescape(raw).alias("text"), role.alias("raw_role"), raw.alias("raw"))
 
     return F.transform(blocks, turn)
 
@@ -71,20 +72,36 @@ def plain(turns: Column) -> Column:
 
 
 def loss_spans(parsed: Column) -> Column:
-    """(begin, end) character offsets of the assistant texts within the formatted string."""
-    shape = "struct<at: bigint, spans: array<struct<begin: bigint, end: bigint>>>"
+    """The loss mask: (begin, end) of the assistant texts within the formatted string in characters, and in bytes."""
+    names = ("begin", "end", "begin_byte", "end_byte")
+    span_type = "struct<" + ", ".join(f"{n}: bigint" for n in names) + ">"
+    shape = f"struct<at: bigint, byte: bigint, spans: array<{span_type}>>"
 
     def step(state: Column, t: Column) -> Column:
-        begin = state["at"] + len(START) + F.char_length(escape_role(t["role"])) + 1
-        end = begin + F.char_length(t["raw"])
-        span = F.struct(begin.cast("bigint").alias("begin"), end.cast("bigint").alias("end"))
+        edges = []
+        for at, length in (("at", F.char_length), ("byte", F.octet_length)):
+            begin = state[at] + len(START) + length(t["raw_role"]) + 1
+            edges.append((begin, begin + length(t["raw"])))
+        (begin, end), (begin_byte, end_byte) = edges
+        span = F.struct(*[c.cast("bigint").alias(n) for c, n in zip((begin, end, begin_byte, end_byte), names, strict=True)])
         spans = F.when(t["role"] == "assistant", F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((end + len(END)).cast("bigint").alias("at"), spans.alias("spans")).cast(shape)
+        return F.struct((end + len(END)).alias("at"), (end_byte + len(END)).alias("byte"), spans.alias("spans")).cast(shape)
 
-    empty = F.expr(f"cast(named_struct('at', 0, 'spans', array()) as {shape})")
+    empty = F.expr(f"cast(named_struct('at', 0, 'byte', 0, 'spans', array()) as {shape})")
     return F.aggregate(parsed, empty, step, lambda s: s["spans"])
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text that the loss mask covers, unescaped: cut out by bytes, so that its cost is that of what is cut out."""
+
+    def cut(whole: Column) -> Column:
+        part = lambda s: F.substr(whole, (s["begin_byte"] + 1).cast("int"), (s["end_byte"] - s["begin_byte"]).cast("int"))
+        return F.array_join(F.transform(spans, lambda s: unescape(F.decode(part(s), "utf-8"))), "")
+
+    # an array of one value, so that the bytes are made once and not for each span
+    return F.element_at(F.transform(F.array(formatted.cast("binary")), cut), 1)
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: formatted string, recovered turns, loss spans, whether the round trip holds.
 
@@ -124,7 +141,7 @@ def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_join(
         F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
-    loss = F.array_join(F.transform(F.filter("parsed", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = under_mask(F.col("formatted"), F.col("loss_spans"))
     return format_chats(rows.unionByName(extra)).select(
         "conv_id",
         F.size("parsed").cast("bigint").alias("n_turns"),
@@ -136,6 +153,7 @@ def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Texts and roles conflict with the grammar if they hold its marks, or what looks like an escape; else nothing is escaped.
 OP4_SQL = r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -144,13 +162,16 @@ WITH rows AS (
     FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
 ), texts AS (
     SELECT conv_id, count(*) AS n_turns,
-           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS all_turns,
-           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_turns,
+           coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+           sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))) AS chars,
            sum(length('<|im_start|>' || replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|nl|>')
-               || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10))) AS chars
+               || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10))) AS escaped_chars,
+           bool_or(contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|')
+               OR contains(role, '<|im_start|>') OR contains(role, '<|nl|>') OR contains(role, chr(10)) OR regexp_matches(role, '<\\+\|')) AS conflict
     FROM rows GROUP BY conv_id
 )
-SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(loss) AS loss_chars,
-       sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, true AS identical
+SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       (CASE WHEN conflict THEN escaped_chars ELSE chars END)::BIGINT AS formatted_chars, true AS identical
 FROM texts
 """

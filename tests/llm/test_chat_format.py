@@ -14,7 +14,8 @@ NASTY = [
 
 def check(spark, rows):
     """Turns read back are the source's, whatever the texts."""
-    out = C.format_chats(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)).collect()
+    out = C.format_chats(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA))
+    out = out.withColumn("loss", C.under_mask(out["formatted"], out["loss_spans"])).collect()
     by = {}
     for conv, turn, role, text in rows:
         by.setdefault(conv, []).append((turn, role or "", text or ""))
@@ -25,6 +26,7 @@ def check(spark, rows):
         assert [(t.role, t.text) for t in r.parsed] == want
         loss = [r.formatted[s.begin : s.end] for s in r.loss_spans]
         assert [C_unescape(x) for x in loss] == [b for a, b in want if a == "assistant"]
+        assert r.loss == "".join(b for a, b in want if a == "assistant")
 
 
 def C_unescape(x):
@@ -66,3 +68,25 @@ def test_query_digests(spark, sf):
     assert r.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     plan = C.op4_query(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_roles_with_marks_in_the_plain_form(spark):
+    rows = [(1, 0, "a<|b", "x"), (1, 1, "assistant", "the answer é"), (2, 0, "user", "<|endoftext|>"), (2, 1, "assistant", "<|"), (None, 0, "assistant", "n"), (None, 1, "od\nd", "m")]
+    check(spark, rows)
+    out = {r.conv_id: r for r in C.format_chats(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()}
+    (span,) = out[1].loss_spans
+    assert out[1].formatted[span.begin : span.end] == "the answer é" and "\\" not in out[1].formatted + out[2].formatted
+
+
+def test_query_equals_sql_on_nasty_rows(spark, tmp_path):
+    import duckdb
+
+    roles = ["user", "assistant", "a<|b", "od\nd", None, "<|nl|>", r"<\|r", "<|im_end|>", "<|im_start|>"]
+    rows = [(k % 40 if k % 41 else None, k % 3 if k % 7 else None, roles[k * 7 % 9 if k % 40 < 30 else k % 3], (NASTY[:-1] + ["<|endoftext|>", "plain"])[k * 5 % 14]) for k in range(400)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "identical"]
+    key = lambda r: (r[0] is None, r)
+    want = sorted(duckdb.sql(f"SELECT {', '.join(names)} FROM ({C.OP4_SQL})").fetchall(), key=key)
+    assert sorted(map(tuple, C.op4_query(spark, str(tmp_path)).select(*names).collect()), key=key) == want
+    assert len({r[5] for r in want}) > 3
