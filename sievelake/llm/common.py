@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """(_doc, _file, _row): the columns of ``docs`` as one value, and a locator of its own for each row.
+
+    The locator is a key of the file and the row's index in it; a frame that doesn't come straight from files is written
+    to the shared folder first.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    if "_metadata" not in (c.lower() for c in docs.columns):
+        try:
+            return docs.select(whole, *place)
+        except AnalysisException:
+            pass
+    return written(docs.select(whole), "located").select("_doc", *place)
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of the column's text, modulo n."""
     return F.crc32(F.col(column).cast("string")) % F.lit(n)
@@ -63,8 +80,8 @@ def spread_sample(rows: DataFrame, id_col: str, most: int) -> list[Row]:
     return sorted(got, key=lambda r: (zlib.crc32(f"order{r[id_col]}".encode()), str(r)))
 
 
-def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def text_or_empty(column: str | Column) -> Column:
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -8,9 +8,8 @@ owns) is checked byte for byte against the content at the locator; digests for w
 are grouped by their full texts instead, so that a collision never merges different texts.
 
 Null text counts as empty, so null and '' are copies of each other. The largest ``doc_id`` stays.
-A row that repeats both id and text of another is told apart by its locator (file and row index),
-so exactly one stays; for frames that don't come straight from files there is no locator, and such
-repeats are all marked as kept. A null id sorts lowest. An empty table gives an empty result.
+A row that repeats both id and text of another is told apart by its locator (file and row index), so exactly
+one stays. A null id sorts lowest. An empty table gives an empty result.
 Other columns are ignored by :func:`exact_groups` and passed through by :func:`exact_dedup`.
 """
 
@@ -18,11 +17,10 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty, without, written
+from .common import fresh_path, located, text_or_empty, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of one group that one task checks against the kept content at most; larger groups are salted.
@@ -54,17 +52,6 @@ def rocksdb(spark: SparkSession):
             spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with a content locator: a key of the file and the row's index in it (0, 0 if not read from files)."""
-    docs = without(docs, "_file", "_row")
-    try:
-        return docs.select(
-            "*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-        )
-    except AnalysisException:
-        return docs.select("*", F.lit(0).cast("long").alias("_file"), F.lit(0).cast("long").alias("_row"))
-
-
 def stream_state(log: DataFrame, log_path: str) -> DataFrame:
     """Stream the log at ``log_path`` into keyed state and return the state as a table."""
     spark = log.sparkSession
@@ -110,9 +97,14 @@ def exact_groups(
 
     ``digest`` maps the text to a binary key; any collision it has is found by the byte check.
     """
-    spark = docs.sparkSession
-    rows = located(docs).select(
-        F.col(id_col).cast("long").alias("_id"), "_file", "_row", text_or_empty(text_col).alias("_text")
+    return groups_of(located(docs), id_col, text_col, digest)
+
+
+def groups_of(placed: DataFrame, id_col: str, text_col: str, digest=sha256_binary) -> DataFrame:
+    """:func:`exact_groups` of rows with their locators."""
+    spark = placed.sparkSession
+    rows = placed.select(
+        F.col("_doc")[id_col].cast("long").alias("_id"), "_file", "_row", text_or_empty(F.col("_doc")[text_col]).alias("_text")
     )
     log_path = fresh_path(spark, "dedup-log")
     rows.select("_id", "_file", "_row", digest(F.col("_text")).alias("_digest")).write.parquet(log_path)
@@ -168,9 +160,9 @@ def regrouped(rows: DataFrame, groups: DataFrame, broken: DataFrame) -> DataFram
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one of each group of equal texts, with its columns as they were."""
-    gone = exact_groups(docs, id_col, text_col).where("not _kept").select(*KEYS)
-    named = located(docs).withColumn("_id", F.col(id_col).cast("long"))
-    return named.join(gone, same_row(named, gone), "left_anti").select(*[named[f"`{c}`"] for c in docs.columns])
+    placed = located(docs)
+    gone = groups_of(placed, id_col, text_col).where("not _kept").select("_file", "_row")
+    return placed.join(gone, ["_file", "_row"], "left_anti").select("_doc.*")
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
