@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -21,20 +24,37 @@ CHUNK_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests in local mode) a
-    temporary folder is made once and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where all runs in one process (``local[n]``) may that be
+    unset: then a temporary folder is made once and remembered in the session.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "sievelake.shared.dir", None
-    )
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("sievelake.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sievelake-")
         spark.conf.set("sievelake.shared.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/sievelake/{what}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which is deleted when the driver ends."""
+    root = f"{shared_dir(spark)}/sievelake-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(delete, spark, root)
+    return f"{root}/{what}-{uuid.uuid4().hex}"
+
+
+_roots: set[str] = set()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, if the driver's JVM still runs."""
+    with contextlib.suppress(Exception):
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -42,7 +62,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made, once nothing that is still to run reads them."""
+    for table in tables:
+        delete(table.sparkSession, table._written_at)
 
 
 def located(docs: DataFrame) -> DataFrame:

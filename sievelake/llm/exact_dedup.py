@@ -20,11 +20,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, located, text_or_empty, written
+from .common import delete, fresh_path, located, text_or_empty, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of one group that one task checks against the kept content at most; larger groups are salted.
 CHECK_ROWS = 4096
+#: Rows of groups of several that are broadcast at most to fetch their texts (under 100 bytes each).
+BROADCAST_ROWS = 200_000
 #: Log files that one micro-batch takes in; after a failure the stream goes on from the last one.
 FILES_PER_BATCH = 20_000
 
@@ -52,10 +54,9 @@ def rocksdb(spark: SparkSession):
             spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
-def stream_state(log: DataFrame, log_path: str) -> DataFrame:
-    """Stream the log at ``log_path`` into keyed state and return the state as a table."""
+def stream_state(log: DataFrame, log_path: str, place: str) -> DataFrame:
+    """Stream the log at ``log_path`` into keyed state at ``place`` and return the state as a table."""
     spark = log.sparkSession
-    place = fresh_path(spark, "dedup-state")
     with rocksdb(spark):
         keyed = (
             spark.readStream.schema(log.schema)
@@ -106,16 +107,18 @@ def groups_of(placed: DataFrame, id_col: str, text_col: str, digest=sha256_binar
     rows = placed.select(
         F.col("_doc")[id_col].cast("long").alias("_id"), "_file", "_row", text_or_empty(F.col("_doc")[text_col]).alias("_text")
     )
-    log_path = fresh_path(spark, "dedup-log")
+    log_path, place = fresh_path(spark, "dedup-log"), fresh_path(spark, "dedup-state")
     rows.select("_id", "_file", "_row", digest(F.col("_text")).alias("_digest")).write.parquet(log_path)
     log = spark.read.parquet(log_path)
-    groups = log.join(stream_state(log, log_path), "_digest").withColumn(
+    groups = log.join(stream_state(log, log_path, place), "_digest").withColumn(
         "_kept",
         F.coalesce("_id", F.lit(-(2**63))).eqNullSafe(F.col("_keep"))
         & (F.col("_file") == F.col("_keep_file"))
         & (F.col("_row") == F.col("_keep_row")),
     )
     groups = written(groups, "dedup-groups")
+    delete(spark, log_path)
+    delete(spark, place)
     broken = mismatches(rows, groups)
     if not broken.isEmpty():
         groups = regrouped(rows, groups, broken)
@@ -131,6 +134,8 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
 def mismatches(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Digests with a row whose full text differs from the content at the group's locator."""
     several = groups.where("_n > 1").select(*KEYS, "_digest", "_n", "_kept")
+    if several.count() <= BROADCAST_ROWS:
+        several = F.broadcast(several)
     full = rows.join(several, same_row(rows, several)).select(
         several["_digest"], several["_n"], several["_kept"], rows["_id"], rows["_row"], rows["_text"]
     )

@@ -20,9 +20,10 @@ bucket of more than ``BUCKET`` members is put off and dealt to pairs of blocks,
 Links become components by min-label propagation with pointer jumping, each round written to the
 shared folder.
 
-Null and empty texts have fingerprint zero and are linked like any other. Rows with equal ids are
-one node or several according to their fingerprints. A null id never names a component unless it
-has no other id. Other columns are ignored; an empty table gives an empty result.
+Null and empty texts have fingerprint zero and are linked like any other. A fingerprint is a node, whatever
+the ids of its rows: rows with equal ids are linked by their fingerprints only, and rows without id link others.
+A null id names a component only if it has no other id. Other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, written
+from .common import arrow_map, discard, written
 
 SEED = 42
 SEGMENT_BITS = (22, 21, 21)
@@ -272,9 +273,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = written(
             low.join(up, "low").select("node", F.least("low", "up").alias("component"), "was"), "labels"
         )
-        labels = step.select("node", "component")
+        discard(labels)
+        labels = step
         if step.where("component < was").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "component")
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,12 +295,11 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 def near_groups(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     """(_id, _fp, _component) of every row: smallest id reachable over fingerprints ``most`` bits apart."""
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("node")), "nodes")
-    named = nodes.where("node is not null")
-    found = components(links(named, most))
-    of_fp = nodes.join(found, "node", "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("_component")
-    )
+    nodes = written(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("id")), "nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), most))
+    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("_component"))
+    of_fp = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "_component")
     return rows.join(of_fp, "_fp").select("_id", "_fp", "_component")
 
 

@@ -18,8 +18,8 @@ node's neighbours in order of size. Once these are verified and connected, it of
 between nodes that are still in different components, and so on, until every pair of every bucket is verified, ruled
 out or connected by verified links. A large group of near copies so costs a few pairs per member and bucket.
 
-A candidate pair is ruled out without a look at the sets where a small bitmap of each (the parity of the shingles that
-fall on each bit) shows more differences than pairs that are alike can have; else the sets are intersected.
+A candidate pair is ruled out without a look at the texts where a small bitmap of each set (the parity of the shingles
+that fall on each bit) shows more differences than pairs that are alike can have; else the whole sets are intersected.
 
 Null and empty texts have no word, aren't alike and all stay. Rows are told apart by id and text, whether or not ids
 are unique or null (a null id comes last); rows equal in both stay or go together. Columns pass through as they are.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, discard, written
 from .golay_simhash import components, fingerprint
 from .golay_simhash import links as simhash_links
 
@@ -116,14 +116,15 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
 
 
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+
 def described(texts: DataFrame) -> DataFrame:
-    """What is needed of each text: (_id, _k, _k2, digest of the set, n, set, keys, bits, fp)."""
+    """What is needed of each text: (_id, _k, _k2, digest of the set, n, keys, bits, fp)."""
     shipped = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
-    names = ["_id", "_k", "_k2", "_set", "n", "set", "keys", "bits", "fp"]
-
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+    names = ["_id", "_k", "_k2", "_set", "n", "keys", "bits", "fp"]
 
     def run(batches):
         frequent = shipped.value
@@ -136,7 +137,6 @@ def described(texts: DataFrame) -> DataFrame:
                         *part.columns[:3],
                         pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()),
                         pa.array([len(h) for h in found], pa.int64()),
-                        lists(found),
                         lists([prefix(h, frequent) for h in found]),
                         pa.array([bitmap(h) for h in found], pa.binary()),
                         pa.array(np.array([fingerprint(t, 1) for t in all_], np.uint64).view(np.int64)),
@@ -145,7 +145,7 @@ def described(texts: DataFrame) -> DataFrame:
                 )
 
     return texts.mapInArrow(
-        run, "_id bigint, _k bigint, _k2 bigint, _set binary, n bigint, set array<bigint>, keys array<bigint>, bits binary, fp bigint"
+        run, "_id bigint, _k bigint, _k2 bigint, _set binary, n bigint, keys array<bigint>, bits binary, fp bigint"
     )
 
 
@@ -214,10 +214,10 @@ def bucket_pairs(keyed: DataFrame, low: int, high: int) -> DataFrame:
     return sorted_.mapInArrow(run, "key bigint, n bigint, p bigint, a bigint, b bigint")
 
 
-def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose bitmaps don't rule out that they are alike."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    a = rows.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    b = rows.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
 
     def run(batches):
@@ -230,18 +230,33 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar."""
-    left = written(possible(pairs, nodes), "near-possible")
-    needed = left.select("a").union(left.select("b")).distinct()
-    sets = nodes.select("node", "n", "set")
-    few = needed.count() <= BROADCAST_NODES
-    sets = sets.join(F.broadcast(needed) if few else needed, F.col("node") == F.col("a"), "left_semi")
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, set) of the rows (row, _k, _k2) that are wanted, made again from their texts."""
+    few = wanted.count() <= BROADCAST_NODES
+    some = texts.join(F.broadcast(wanted) if few else wanted, ["_k", "_k2"]).select("row", "_text")
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "_text"):
+                found = lists([hashes(t) for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["row", "set"])
+
+    return some.mapInArrow(run, "row bigint, set array<bigint>")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar, as a table."""
+    left = written(possible(pairs, rows), "near-possible")
+    ends = left.select(F.col("a").alias("row")).union(left.select("b")).distinct()
+    wanted = written(rows.select("row", "_k", "_k2").join(ends, "row", "left_semi"), "near-wanted")
+    sets = written(sets_of(texts, wanted), "near-sets")
+    a = sets.select(F.col("row").alias("a"), F.col("set").alias("set_a"))
+    b = sets.select(F.col("row").alias("b"), F.col("set").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    alike = common >= SIMILARITY * (F.col("n_a") + F.col("n_b") - common) - 1e-9
-    return left.join(a, "a").join(b, "b").where(alike).select("a", "b")
+    alike = common >= SIMILARITY * (F.size("set_a") + F.size("set_b") - common) - 1e-9
+    out = written(left.join(a, "a").join(b, "b").where(alike).select("a", "b"), "near-links")
+    discard(left, wanted, sets)
+    return out
 
 
 def doc_key(id_col: str, text_col: str) -> list[Column]:
@@ -261,13 +276,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = rows.select("_set", "row").join(first, "_set").where("row <> node")
     alike = written(same.select(F.col("node").alias("a"), F.col("row").alias("b")), "near-links")
     firsts = first.select(F.col("node").alias("row"))
-    nodes = rows.join(firsts, "row", "left_semi").withColumnRenamed("row", "node")
+    nodes = rows.select("row", "n", "keys", "fp").join(firsts, "row", "left_semi").withColumnRenamed("row", "node")
     # SimHash: nodes of one fingerprint with the first of them, and that with the first of near fingerprints
-    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    of_fp = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
     star = nodes.select("fp", F.col("node").alias("b")).join(of_fp.withColumnRenamed("node", "a"), "fp").where("a <> b")
     pairs = simhash_links(of_fp).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(star.select("a", "b"))
     seen = written(pairs.distinct(), "near-pairs")
-    alike = alike.union(written(verified(seen, nodes), "near-links"))
+    alike = alike.union(verified(seen, rows, texts))
     groups = components(alike)
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("p", "key")).select("key", "n", F.col("p").cast("long").alias("p"), "node")
     keyed = with_component(keyed, groups)
@@ -275,14 +290,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     while True:
         found = written(bucket_pairs(keyed, low, high), "near-buckets")
         pairs = written(found.where("key is null").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "near-pairs")
-        seen = seen.union(pairs)
-        new = written(verified(pairs, nodes), "near-links")
-        if not new.isEmpty():
-            alike = alike.union(new)
-            groups = components(alike)
+        if not pairs.isEmpty():
+            seen = seen.union(pairs)
+            new = verified(pairs, rows, texts)
+            if not new.isEmpty():
+                alike = alike.union(new)
+                groups = components(alike)
         late = with_component(found.where("key is not null").select("key", "n", "p", F.col("a").alias("node")), groups)
         mixed = late.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
         keyed = written(late.join(mixed.select("key"), "key"), "near-open")
+        discard(found)
         left = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
         if left.c is None:
             break

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, discard, written
 
 #: Nodes below this share of the importance of a host's main nodes are removed.
 LEAST_IMPORTANCE = 0.4
@@ -102,7 +102,6 @@ _markup = re.compile(
 _attribute = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+""")
 _telling = re.compile("class|id|role|itemprop|hidden", re.I)
 _digits = re.compile(r"\d{3,}")
-_number = re.compile(r"\d+")
 _phrase = re.compile(r"[.!?;:]+(?:\s+|\Z)|\s*[©·|•]\s*")
 
 NEUTRAL, WRAPPER, NOISY, CENTRAL = 0, 1, 2, 3
@@ -278,9 +277,9 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def phrases(text: str) -> list[tuple[int, int]]:
-    """(hash, words) of the phrases of a block; numbers are alike."""
+    """(hash, words) of the phrases of a block."""
     out = []
-    for phrase in _phrase.split(_number.sub("#", text)):
+    for phrase in _phrase.split(text):
         if n := len(phrase.split()):
             out.append((xxhash.xxh64_intdigest(phrase.encode("utf-8", "replace")) >> 1, n))
     return out
@@ -365,6 +364,7 @@ def extract(pages: DataFrame, names: bool = True) -> DataFrame:
     rows = page_rows(pages)
     tree = written(site_features(rows), "site-tree")
     low = written(removed_nodes(tree), "removed-nodes")
+    discard(tree)
     n_low = low.count()
     if n_low <= BROADCAST_ROWS:
         # nodes of templates, not of pages, and a checked number of them

@@ -104,11 +104,57 @@ def test_near_dedup_drops_copies_and_keeps_the_rest(spark):
     assert out.columns == docs.columns
     left = {r.doc_id for r in out.collect()}
     assert {i for i, _ in clean} <= left and {200, 201, 202, 203, 204, None} <= left
-    assert len(left & {i for i, _ in copies}) <= 1
+    assert not left & {i for i, _ in copies}
     assert N.near_dedup(docs.limit(0)).collect() == []
 
 
-def test_similarity_is_of_five_word_shingles():
-    a, b = "a b c d e f g", "a b c d e f x"
-    assert N.similarity(N.shingles(a), N.shingles(b)) == 2 / 4
-    assert N.similarity(N.shingles(""), N.shingles("")) == 0
+def test_shingles_have_five_words_and_bitmaps_rule_out_no_copy():
+    assert len(N.hashes("a b c d e f g")) == 3 and len(N.hashes("A b")) == 1 and not len(N.hashes(" "))
+    assert len(set(N.hashes("a b c d e f g")) & set(N.hashes("A B C D E F x"))) == 2
+    rng = random.Random(8)
+    for n in (1, 2, 5, 40, 700, 9000):
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        for share in (0.02, 0.1, 0.5):
+            more = [rng.getrandbits(64) for _ in range(rng.randrange(n))]
+            b = np.unique(np.array([rng.getrandbits(64) if rng.random() < share else int(x) for x in a] + more, np.uint64))
+            assert N.differences(N.bitmap(a), N.bitmap(b)) <= len(set(a) ^ set(b))
+        assert not N.differences(N.bitmap(a), N.bitmap(a))
+
+
+def connected(n, pairs):
+    group = list(range(n))
+    for a, b in pairs:
+        x, y = group[a], group[b]
+        group = [min(x, y) if g in (x, y) else g for g in group]
+    return group
+
+
+def test_a_forest_connects_what_all_links_of_a_bucket_connect(monkeypatch):
+    rng = np.random.default_rng(5)
+    centers = rng.integers(0, 2**63, 6).astype(np.uint64)
+    fps = np.array([centers[i % 6] ^ np.uint64(sum({1 << int(b) for b in rng.integers(0, 64, 2)})) for i in range(120)])
+    keys = np.sort(rng.integers(0, 4, 120))
+    want = connected(120, [(i, j) for i in range(120) for j in range(i) if keys[i] == keys[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= 3])
+    for small in (1, 8, 200):
+        monkeypatch.setattr(G, "SMALL", small)
+        assert connected(120, zip(*[x.tolist() for x in G.bucket_links(keys, fps, 3)], strict=True)) == want
+
+
+def test_large_buckets_are_dealt_without_loss(spark, monkeypatch):
+    rng = random.Random(11)
+    fps = [0]
+    for _ in range(399):  # a tree of small steps: large buckets, one component
+        fps.append(rng.choice(fps) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    fps = sorted(set(fps))
+    nodes = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in enumerate(fps)], "fp bigint, node bigint")
+    want = connected(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    monkeypatch.setattr(G, "BUCKET", 16)
+    got = {r.node: r.component for r in G.components(G.links(nodes)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == want
+
+
+def test_rows_without_id_link_others(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    docs = spark.createDataFrame([(5, base), (None, base), (None, None), (7, "")], "doc_id bigint, text string")
+    got = {(r._id, r._component) for r in G.near_groups(docs).collect()}
+    assert got == {(5, 5), (None, 5), (None, 7), (7, 7)}
