@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,12 +24,27 @@ def count_pieces(text: Column) -> Column:
     return F.size(pieces(text)).cast("bigint")
 
 
-TOKEN_MODELS = {"chars4": count_chars4, "pieces": count_pieces}
+def cut_chars4(text: Column, budget: Column) -> Column:
+    return F.substring(text, F.lit(1), (budget * 4).cast("int"))
+
+
+def cut_pieces(text: Column, budget: Column) -> Column:
+    short = F.array_join(F.slice(pieces(text), F.lit(1), budget.cast("int")), " ")
+    return F.when(count_pieces(text) <= budget, text).otherwise(short)
+
+
+#: Per model, how texts are counted and cut (None: the model can't cut).
+TOKEN_MODELS: dict[str, tuple[Callable, Callable | None]] = {"chars4": (count_chars4, cut_chars4), "pieces": (count_pieces, cut_pieces)}
+
+
+def register_token_model(name: str, count: Callable[[Column], Column], cut: Callable[[Column, Column], Column] | None = None) -> None:
+    """Let ``model=name`` count (and cut) texts by column functions, such as pandas UDFs around a tokenizer."""
+    TOKEN_MODELS[name] = (count, cut)
 
 
 def count_tokens(text: Column, model: str = "chars4") -> Column:
     """Tokens of a text; an unknown model falls back to chars4. Null text has null tokens."""
-    return TOKEN_MODELS.get(model, count_chars4)(text)
+    return TOKEN_MODELS.get(model, TOKEN_MODELS["chars4"])[0](text)
 
 
 def truncate(text: Column, budget: Column, model: str = "chars4") -> Column:
@@ -35,12 +52,10 @@ def truncate(text: Column, budget: Column, model: str = "chars4") -> Column:
 
     Pieces are joined by blanks. An unknown model raises: a budget needs a model that can cut.
     """
-    if model == "chars4":
-        return F.substring(text, F.lit(1), (budget * 4).cast("int"))
-    if model == "pieces":
-        short = F.array_join(F.slice(pieces(text), F.lit(1), budget.cast("int")), " ")
-        return F.when(count_pieces(text) <= budget, text).otherwise(short)
-    raise ValueError(f"unknown token model: {model}")
+    cut = TOKEN_MODELS.get(model, (None, None))[1]
+    if cut is None:
+        raise ValueError(f"unknown token model, or one that can't cut: {model}")
+    return cut(text, budget)
 
 
 def words(text: Column) -> Column:
@@ -70,3 +85,8 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, or 0 where b isn't above 0."""
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def exact_mean(x: Column) -> Column:
+    """Mean from a sum of decimals, which is the same in any order of the rows."""
+    return F.sum(x.cast("decimal(38,12)")).cast("double") / F.count(x)

@@ -34,12 +34,18 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: Column)
 
 
 def merge_branches(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, value: str) -> DataFrame:
-    """Three-way merge of snapshots: (key, value, conflict); on conflict ours wins and is flagged."""
-    parts = [d.select(F.col(key), F.col(value).alias(n)) for d, n in ((base, "b"), (ours, "o"), (theirs, "t"))]
+    """Three-way merge of snapshots: (key, value, deleted, conflict) of the rows that are left, and of conflicts.
+
+    A side that changed a row (its value, or whether it is there) wins over one that didn't. If both did and not to the
+    same, ours wins and the row is flagged, as deleted if ours deleted it. A null value is a value.
+    """
+    parts = [d.select(F.col(key), F.col(value).alias(n), F.lit(True).alias(f"in_{n}")) for d, n in ((base, "b"), (ours, "o"), (theirs, "t"))]
     all_ = parts[0].join(parts[1], key, "full").join(parts[2], key, "full")
-    kept = F.when(F.col("o").eqNullSafe(F.col("b")), F.col("t")).otherwise(F.col("o"))
-    clash = ~F.col("o").eqNullSafe(F.col("b")) & ~F.col("t").eqNullSafe(F.col("b")) & ~F.col("o").eqNullSafe(F.col("t"))
-    return all_.select(key, kept.alias(value), clash.alias("conflict")).where(F.col(value).isNotNull())
+    state = {n: F.struct(F.coalesce(f"in_{n}", F.lit(False)).alias("there"), F.col(n).alias("v")) for n in "bot"}
+    ours_changed, theirs_changed = ~state["o"].eqNullSafe(state["b"]), ~state["t"].eqNullSafe(state["b"])
+    clash = ours_changed & theirs_changed & ~state["o"].eqNullSafe(state["t"])
+    merged = all_.select(key, F.when(ours_changed, state["o"]).otherwise(state["t"]).alias("_m"), clash.alias("conflict"))
+    return merged.select(key, F.col("_m.v").alias(value), (~F.col("_m.there")).alias("deleted"), "conflict").where("conflict or not deleted")
 
 
 def trace(selected: DataFrame, by: list[str], plan_json: str) -> DataFrame:
@@ -50,10 +56,13 @@ def trace(selected: DataFrame, by: list[str], plan_json: str) -> DataFrame:
 
 
 def pool_fingerprint(docs: DataFrame) -> DataFrame:
-    """One row that tells pools apart, whatever their order: count, and sums of two 24-bit parts of each text's md5."""
-    d = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
-    part = lambda at: F.sum(F.conv(F.substring(d, at, 6), 16, 10).cast("bigint"))
-    return docs.agg(F.count(F.lit(1)).alias("n"), part(1).alias("sum_a"), part(7).alias("sum_b"))
+    """One row that tells pools apart, whatever their order: count, and sums of two 60-bit parts of each row's md5.
+
+    A null text differs from an empty one. The sums are decimals of any size, given as text.
+    """
+    d = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text").isNull().cast("int").cast("string"), F.coalesce("text", F.lit(""))))
+    part = lambda at: F.sum(F.conv(F.substring(d, at, 15), 16, 10).cast("decimal(28,0)")).cast("string")
+    return docs.agg(F.count(F.lit(1)).alias("n"), part(1).alias("sum_a"), part(16).alias("sum_b"))
 
 
 def replay_diff(recorded: DataFrame, replayed: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions import text as X
 
 #: Bytes of query vectors shipped to the executors at once; more queries go in further blocks.
 BLOCK_BYTES = 64 << 20
-#: Distances computed at once in a task.
+#: Distances estimated at once in a task.
 BLOCK_CELLS = 1 << 22
 
 
@@ -30,9 +30,40 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(cells, F.lit(0.0), lambda s, x: s + x)
 
 
-def _best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, dist))[:k]
-    return ids[order], dist[order]
+class Nearest:
+    """The k best hits of each query of a block, kept while the pool goes by.
+
+    A product of matrices estimates all distances of a piece of the pool; only what the estimate can't rule out is
+    computed exactly, so most rows cost a multiplication per dimension and query and nothing else.
+    """
+
+    def __init__(self, vectors: np.ndarray, excluded: list, k: int):
+        self.vectors, self.k = vectors, k
+        self.squares = (vectors**2).sum(axis=1)
+        self.skip = np.array([-1 if e is None else e for e in excluded], np.int64)
+        self.has_skip = np.array([e is not None for e in excluded])
+        self.limit = np.full(len(vectors), np.inf)
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, id, distance
+
+    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        squares = (matrix**2).sum(axis=1)
+        guess = squares[:, None] + self.squares[None, :] - 2 * (matrix @ self.vectors.T)
+        margin = 1e-9 * (squares.max(initial=0) + self.squares.max(initial=0))
+        if self.has_skip.any():
+            guess[(ids[:, None] == self.skip[None, :]) & self.has_skip[None, :]] = np.inf
+        most = self.limit
+        if len(ids) > self.k:
+            most = np.minimum(most, np.partition(guess, self.k - 1, axis=0)[self.k - 1])
+        row, query = np.nonzero((guess <= most + margin) & np.isfinite(guess))
+        dist = ((matrix[row] - self.vectors[query]) ** 2).sum(axis=1)
+        query, near, dist = (np.concatenate(x) for x in zip(self.found, (query, ids[row], dist), strict=True))
+        order = np.lexsort((near, dist, query))
+        query, near, dist = query[order], near[order], dist[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        last = place == self.k - 1
+        self.limit[query[last]] = dist[last]
+        self.found = (query[kept], near[kept], dist[kept])
 
 
 def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[list, np.ndarray, list]]:
@@ -77,28 +108,17 @@ def top_k(
 
         def run(batches, shipped=shipped):
             keys, vectors, excluded = shipped.value
-            skip = np.array([-1 if e is None else e for e in excluded])
-            has_skip = np.array([e is not None for e in excluded])
-            best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in keys]
-            step = max(1, BLOCK_CELLS // max(1, vectors.size))
+            best = Nearest(vectors, excluded, k)
+            step = max(1, BLOCK_CELLS // max(1, len(vectors)))
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
                 matrix = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, vectors.shape[1]))
                 for at in range(0, len(ids), step):
-                    some = ids[at : at + step]
-                    dist = ((matrix[at : at + step, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)
-                    for q in range(len(keys)):
-                        ok = some != skip[q] if has_skip[q] else slice(None)
-                        found, d = best[q]
-                        best[q] = _best(np.concatenate((found, some[ok])), np.concatenate((d, dist[ok, q])), k)
+                    best.add(ids[at : at + step], matrix[at : at + step])
+            query, near, dist = best.found
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([key for key, (i, _) in zip(keys, best, strict=True) for _ in i], kind),
-                    pa.array(np.concatenate([i for i, _ in best])),
-                    pa.array(np.concatenate([d for _, d in best])),
-                ],
-                names=partial.names,
+                [pa.array(keys, kind).take(pa.array(query)), pa.array(near), pa.array(dist)], names=partial.names
             )
 
         found = docs.mapInArrow(run, partial)

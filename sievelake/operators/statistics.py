@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 
-def percentiles(df: DataFrame, value: str, by: list[str], points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """Percentiles as the element at place min(n * p div 100, n - 1) of the sorted values, one column each.
 
-    Ranks come from a window per group: nothing is collected into an array.
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, rows, before, total) of each different value: rows below it and rows of its group.
+
+    The window runs over different values, after a partial aggregation, so a group with a third of all rows is as small
+    as the number of its values.
     """
-    of_group = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(
-        *by, value, F.row_number().over(of_group.orderBy(value)).alias("_i"), F.count(F.lit(1)).over(of_group).alias("_n")
-    )
-    at = lambda p: F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1) + 1
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == at(p), F.col(value))).alias(f"p{p}") for p in points])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("rows"))
+    w = Window.partitionBy(*by)
+    before = F.sum("rows").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    return counts.select(*by, value, "rows", before.alias("before"), F.sum("rows").over(w).alias("total"))
+
+
+def percentiles(df: DataFrame, value: str, by: list[str], points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """Percentiles as the element at place min(n * p div 100, n - 1) of the sorted values, one column each."""
+    counts = value_counts(df, value, by)
+
+    def at(p: int) -> Column:
+        place = F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1)
+        return (F.col("before") <= place) & (place < F.col("before") + F.col("rows"))
+
+    return counts.groupBy(*by).agg(*[F.max(F.when(at(p), F.col(value))).alias(f"p{p}") for p in points])
 
 
 def percentile_ratios(df: DataFrame) -> DataFrame:
@@ -25,9 +37,9 @@ def percentile_ratios(df: DataFrame) -> DataFrame:
 
 def cdf(df: DataFrame, value: str, by: list[str], ties: list[str]) -> DataFrame:
     """Empirical distribution: each row's place among its group's values, in percent; ties get steps of their own."""
-    w = Window.partitionBy(*by)
-    step = F.row_number().over(w.orderBy(value, *ties)) / F.count(F.lit(1)).over(w) * 100
-    return df.where(F.col(value).isNotNull()).select(*by, *ties, value, step.alias("cdf"))
+    placed = df.where(F.col(value).isNotNull()).join(value_counts(df, value, by), [*by, value])
+    among = F.row_number().over(Window.partitionBy(*by, value).orderBy(*ties))
+    return placed.select(*by, *ties, value, ((F.col("before") + among) / F.col("total") * 100).alias("cdf"))
 
 
 def spread(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -80,13 +92,13 @@ def binned(df: DataFrame, value: str, low: float, width: float, n: int) -> DataF
 def bin_means(df: DataFrame, value: str, target: str, low: float, width: float, n: int) -> DataFrame:
     """Mean of ``target`` and row count of every bin, empty bins kept."""
     spark = df.sparkSession
-    agg = binned(df, value, low, width, n).where("bin is not null").groupBy("bin").agg(F.avg(target).alias("mean"), F.count(F.lit(1)).alias("n"))
+    agg = binned(df, value, low, width, n).where("bin is not null").groupBy("bin").agg(X.exact_mean(F.col(target)).alias("mean"), F.count(F.lit(1)).alias("n"))
     return spark.range(n).select(F.col("id").cast("int").alias("bin")).join(agg, "bin", "left").select("bin", "mean", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def center_means(df: DataFrame, value: str, target: str, by: list[str], low: float, width: float, n: int, least: int = 3) -> DataFrame:
     """Mean of ``target`` per group and bin center, for bins with ``least`` rows or more."""
-    agg = binned(df, value, low, width, n).where("bin is not null").groupBy(*by, "center").agg(F.avg(target).alias("mean"), F.count(F.lit(1)).alias("n"))
+    agg = binned(df, value, low, width, n).where("bin is not null").groupBy(*by, "center").agg(X.exact_mean(F.col(target)).alias("mean"), F.count(F.lit(1)).alias("n"))
     return agg.where(F.col("n") >= least)
 
 
@@ -111,6 +123,13 @@ def histogram(df: DataFrame, value: str, by: list[str], bins: int = 20, density:
 
 def class_means(df: DataFrame, column: str, classes: list[str], means: dict[str, str]) -> DataFrame:
     """Count and means per class, every class present even if it has no row."""
-    agg = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(k) for k, v in means.items()])
+    agg = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"), *[X.exact_mean(F.col(v)).alias(k) for k, v in means.items()])
     frame = df.sparkSession.createDataFrame([(c,) for c in classes], f"{column} string")
     return frame.join(agg, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"), *means)
+
+
+def approximate(df: DataFrame, value: str, distinct: str, by: list[str], points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Rows, about how many different ``distinct`` (HyperLogLog++, 2 %) and about which percentiles, by mergeable sketches."""
+    at = F.percentile_approx(value, list(points), 10_000)
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(distinct, 0.02).alias("n_distinct"), at.alias("_p"))
+    return out.select(*by, "n", "n_distinct", *[F.col("_p")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(points)])

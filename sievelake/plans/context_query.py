@@ -55,19 +55,24 @@ class ContextQuery:
         return replace(self, plan=replace(self.plan, budget=budget, selection=selection, token_model=token_model))
 
     def run(self, tasks: DataFrame, pool: DataFrame, edges: DataFrame | None = None, exclude: str | None = None) -> DataFrame:
-        """(task_id, doc_id, rank, tokens) of the context of each task.
+        """(task_id, doc_id, rank, tokens) of the context of each task, and the summary if there are any.
+
+        Vector search, then expansion along ``edges``, then pruning, then summaries, then the budget.
 
         ``tasks``: task_id, query, query_vector; ``pool``: doc_id, text, embedding and whatever the
         predicate names. Ids are chosen first; texts are only measured, and read when the caller joins.
         """
         p = self.plan
         seen = pool.where(p.where) if p.where else pool
+        if p.hops and edges is None:
+            raise ValueError("a query that expands needs edges")
         hits = retrieval.top_k(tasks, seen, p.topk, exclude=exclude)
-        if p.prune:
-            hits = hybrid.prune_copies(hits, seen, ["task_id"])
-        if p.hops and edges is not None:
+        if p.hops:
             near = graph.within_hops(hits.select("task_id", F.col("doc_id").alias("node")), edges, p.hops, ["task_id"])
             allowed = near.where("hop > 0").join(seen.select("doc_id"), F.col("node") == F.col("doc_id"), "left_semi")
+            if exclude:
+                own = tasks.select("task_id", F.col(exclude).alias("node"))
+                allowed = allowed.join(own, ["task_id", "node"], "left_anti")
             hits = hits.unionByName(
                 allowed.select(
                     "task_id",
@@ -76,23 +81,53 @@ class ContextQuery:
                     F.lit(None).cast("double").alias("dist"),
                 )
             )
+        if p.prune:
+            hits = hybrid.prune_copies(hits, seen, ["task_id"])
         size = X.count_tokens(F.col("text"), p.token_model)
         if p.sentences:
-            short = hybrid.summarise(tasks, hits, seen, p.sentences, ["task_id"])
+            short = hybrid.summarise(tasks, hits, seen, p.sentences, ["task_id"]).select("task_id", "doc_id", "summary")
             sized = hits.join(short.select("task_id", "doc_id", X.count_tokens(F.col("summary"), p.token_model).alias("tokens")), ["task_id", "doc_id"])
         else:
             sized = hits.join(seen.select("doc_id", size.alias("tokens")), "doc_id")
         sized = sized.withColumn("relevance", 1 / (1 + F.coalesce("dist", F.lit(1.0))))
         if p.selection == "skip":
-            return B.select_skipping(sized, p.budget, ["task_id"])
-        if p.selection == "dense":
-            return B.select_dense(sized, p.budget, ["task_id"])
-        return B.select_prefix(sized, p.budget, ["task_id"]).select("task_id", "doc_id", "rank", "tokens")
+            chosen = B.select_skipping(sized, p.budget, ["task_id"])
+        elif p.selection == "dense":
+            chosen = B.select_dense(sized, p.budget, ["task_id"])
+        else:
+            chosen = B.select_prefix(sized, p.budget, ["task_id"])
+        chosen = chosen.select("task_id", "doc_id", "rank", "tokens")
+        return chosen.join(short, ["task_id", "doc_id"]) if p.sentences else chosen
 
 
-def estimated_cost(tokens: Column, docs: Column, token_weight: float = 1.0, doc_weight: float = 20.0) -> Column:
-    """Linear cost of a plan: tokens to read and documents to fetch."""
-    return token_weight * tokens + doc_weight * docs
+@dataclass(frozen=True)
+class CostWeights:
+    """What a context costs: per token of the prompt, per document fetched (retrieval latency), per token that is read to
+    be summarised, and per token of the prompt in the model's forward pass."""
+
+    token: float = 1.0
+    document: float = 20.0
+    summarised: float = 0.5
+    forward: float = 0.125
+
+
+def cost_terms(tokens: Column, docs: Column, summarised: Column | None = None, weights: CostWeights = CostWeights()) -> dict[str, Column]:
+    """The terms of a plan's cost; ``summarised`` are the tokens that summaries were made from."""
+    read = F.lit(0) if summarised is None else summarised
+    return {
+        "token_cost": weights.token * tokens,
+        "retrieval_cost": weights.document * docs,
+        "summary_cost": weights.summarised * read,
+        "forward_cost": weights.forward * tokens,
+    }
+
+
+def estimated_cost(tokens: Column, docs: Column, summarised: Column | None = None, weights: CostWeights = CostWeights()) -> Column:
+    """Linear cost of a plan: the sum of its terms."""
+    first, *rest = cost_terms(tokens, docs, summarised, weights).values()
+    for term in rest:
+        first = first + term
+    return first
 
 
 def choose(candidates: DataFrame, budget: int, least_recall: float) -> DataFrame:

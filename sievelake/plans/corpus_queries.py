@@ -33,11 +33,16 @@ def text_scalars(spark, d):
 
 
 def word_overlap(spark, d):
-    """Each document against the text of the benchmark item with its number modulo forty, by an equi-join."""
-    b = table(spark, d, "benchmark").select("item_id", X.word_set(F.col("text")).alias("b"))
-    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.word_set(F.col("text")).alias("a"))
-    both = rows.join(b, "item_id")
-    return both.select("doc_id", X.overlap(F.col("a"), F.col("b")).alias("common"), F.round(X.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
+    """For each document the benchmark item with the most similar words, among all items, by an equi-join on words."""
+    items = table(spark, d, "benchmark").select("item_id", X.word_set(F.col("text")).alias("w"))
+    asked = items.select("item_id", F.size("w").alias("n_item"), F.explode("w").alias("word"))
+    held = table(spark, d, "documents").select("doc_id", X.word_set(F.col("text")).alias("w"))
+    held = held.select("doc_id", F.size("w").alias("n_doc"), F.explode("w").alias("word"))
+    both = held.join(asked, "word").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"), F.first("n_doc").alias("n_doc"), F.first("n_item").alias("n_item"))
+    share = F.round(F.col("common") / (F.col("n_doc") + F.col("n_item") - F.col("common")), 9)
+    order = F.struct(share.alias("jaccard"), (-F.col("item_id")).alias("i"))
+    best = both.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "common", share.alias("jaccard")), order).alias("b"), F.count(F.lit(1)).alias("n_items"))
+    return best.select("doc_id", "b.item_id", "b.common", "b.jaccard", "n_items")
 
 
 def hash_buckets(spark, d):
@@ -229,9 +234,11 @@ SQL = {
     "q_text_scalars": f"""SELECT doc_id, length(text)::INT AS chars, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::INT AS n_words,
         len({_SETS.format("lower(text)")})::INT AS n_word_set, len({_SETS.format("text")})::INT AS n_word_set_cased,
         len(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:20]))::INT AS n_first_set, text[1:10] AS prefix FROM documents""",
-    "q_word_overlap": f"""WITH d AS (SELECT doc_id, doc_id % 40 AS item_id, {_SETS.format("lower(text)")} AS a FROM documents), b AS (SELECT item_id, {_SETS.format("lower(text)")} AS b FROM benchmark)
-        SELECT doc_id, len(list_intersect(a, b))::INT AS common, round(coalesce(len(list_intersect(a, b)) / nullif(len(a) + len(b) - len(list_intersect(a, b)), 0), 0), 9) AS jaccard
-        FROM d JOIN b USING (item_id)""",
+    "q_word_overlap": f"""WITH d AS (SELECT doc_id, {_SETS.format("lower(text)")} AS a FROM documents), b AS (SELECT item_id, {_SETS.format("lower(text)")} AS b FROM benchmark),
+        p AS (SELECT doc_id, item_id, len(list_intersect(a, b)) AS common, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 9) AS jaccard
+            FROM d CROSS JOIN b WHERE list_has_any(a, b))
+        SELECT doc_id, item_id, common, jaccard, count(*) OVER (PARTITION BY doc_id) AS n_items FROM p
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, item_id) = 1""",
     "q_hash_buckets": f"SELECT ({_bits('text')} % 1000)::INT AS bucket, count(*) AS n FROM documents GROUP BY 1",
     "q_keyed_draws": f"""SELECT doc_id, round({_uniform("'7'", "doc_id::VARCHAR")}, 9) AS u, (100 + floor({_uniform("'7'", "'len'", "doc_id::VARCHAR")} * 1900))::INT AS i,
         ['code', 'sql', 'dialog'][(1 + floor({_uniform("'7'", "'kind'", "doc_id::VARCHAR")} * 3))::INT] AS c, {_uniform("'7'", "'coin'", "doc_id::VARCHAR")} < 0.3 AS b,

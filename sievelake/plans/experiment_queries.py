@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import budget as B
 from ..operators import hardness as H
 from ..operators import relevance, retrieval
 from ..operators import statistics as S
-from ..sources.tables import table
-from .inputs import BUDGETS, COSTS_SQL, HITS_SQL, TOPK, hits, tasks
-
-
-#: Added to a mean before rounding, here and in the SQL, so that sums in another order don't tip an exact tie.
-NUDGE = 3e-11
+from ..sources.tables import embed, hashed_embedder, table
+from .inputs import BUDGETS, COSTS_SQL, HITS_SQL, TOPK, hits, pool, tasks
 
 
 def r9(column: str):
@@ -22,8 +19,8 @@ def r9(column: str):
 
 
 def m9(column):
-    """A mean, rounded to nine digits."""
-    return F.round(column + F.lit(NUDGE), 9)
+    """An exact mean, rounded to nine digits."""
+    return F.round(column, 9)
 
 
 def costs(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +94,13 @@ def cost_rollup(spark, d):
 
 
 def budget(spark, d):
-    return B.simulate(costs(spark, d), BUDGETS)
+    out = B.simulate(costs(spark, d), BUDGETS)
+    return out.withColumn("success", relevance.outcome(F.col("success_prob"), F.col("task_id"), F.col("topk"), F.col("budget")))
 
 
 def budget_simulation(spark, d):
     return budget(spark, d).select(
-        "task_id", "task_type", "topk", "budget", "context_tokens", "deviation", r9("deviation_ratio"), r9("utilization"), r9("success_prob")
+        "task_id", "task_type", "topk", "budget", "context_tokens", "deviation", r9("deviation_ratio"), r9("utilization"), r9("success_prob"), "success"
     )
 
 
@@ -122,7 +120,7 @@ def deviation_centers(spark, d):
 
 
 def budget_pivot(spark, d):
-    means = budget(spark, d).groupBy("budget", "topk").agg(F.avg("success_prob").alias("m"))
+    means = budget(spark, d).groupBy("budget", "topk").agg(X.exact_mean(F.col("success_prob")).alias("m"))
     return S.pivot(means, "budget", "topk", TOPK, m9(F.first("m")))
 
 
@@ -144,24 +142,52 @@ def quality(spark, d):
     grid = tasks(spark, d).select("task_id", F.explode(F.array(*map(F.lit, TOPK))).alias("topk"))
     out = relevance.evaluate(grid, swept, same_label_gold(spark, d), ["task_id", "topk"])
     kinds = tasks(spark, d).select("task_id", "task_type")
-    return out.join(kinds, "task_id").withColumn("success", relevance.success_probability(F.col("recall")))
+    out = out.join(kinds, "task_id").withColumn("success", relevance.success_probability(F.col("recall")))
+    return out.withColumn("agent_success", relevance.outcome(F.col("success"), F.col("task_id"), F.col("topk")))
+
+
+def keyword_quality(spark, d):
+    """Retrieval against the documents that share words with the task's query."""
+    asked, held = tasks(spark, d), pool(spark, d).select("doc_id", "text")
+    useful = relevance.gold(asked, held).join(asked.select("task_id", "vec_id"), "task_id").where("doc_id <> vec_id")
+    grid = asked.select("task_id", F.explode(F.array(*map(F.lit, TOPK))).alias("topk"))
+    out = relevance.evaluate(grid, retrieval.sweep(hits(spark, d), TOPK), useful, ["task_id", "topk"])
+    out = out.join(asked.select("task_id", "task_type"), "task_id").withColumn("success", relevance.success_probability(F.col("recall")))
+    return out.select(
+        "task_id", "task_type", "topk", "retrieved_count", "gold_count", "overlap", r9("recall"), r9("precision"), r9("f1"), r9("success"),
+        relevance.outcome(F.col("success"), F.col("task_id"), F.col("topk")).alias("agent_success"),
+    )
+
+
+def text_search(spark, d):
+    """From text to vector to hits: queries and documents embedded by one model, then searched."""
+    model = hashed_embedder(64)
+    asked = embed(tasks(spark, d).select("task_id", "query"), model, "query", "query_vector")
+    held = embed(table(spark, d, "documents").select("doc_id", "text"), model)
+    return retrieval.top_k(asked, held, 10).select("task_id", "rank", "doc_id", F.round("dist", 6).alias("dist"))
+
+
+def similarity_points(spark, d):
+    """Mean similarity against recall, one row per task and k."""
+    sim = retrieval.sweep(hits(spark, d), TOPK).groupBy("task_id", "topk").agg(retrieval.mean_similarity(F.col("dist")).alias("similarity"))
+    return quality(spark, d).join(sim, ["task_id", "topk"]).select("task_id", "task_type", "topk", r9("similarity"), r9("recall"))
 
 
 def retrieval_quality(spark, d):
     return quality(spark, d).select(
-        "task_id", "task_type", "topk", "retrieved_count", "gold_count", "overlap", r9("recall"), r9("precision"), r9("f1"), r9("success")
+        "task_id", "task_type", "topk", "retrieved_count", "gold_count", "overlap", r9("recall"), r9("precision"), r9("f1"), r9("success"), "agent_success"
     )
 
 
 def quality_by_topk(spark, d):
     return quality(spark, d).groupBy("topk").agg(
-        *[m9(F.avg(c)).alias(c) for c in ("recall", "precision", "f1", "success")],
+        *[m9(X.exact_mean(F.col(c))).alias(c) for c in ("recall", "precision", "f1", "success")],
         F.round(F.stddev_samp("recall"), 9).alias("recall_std"),
     )
 
 
 def quality_pivot(spark, d):
-    means = quality(spark, d).groupBy("task_type", "topk").agg(F.avg("recall").alias("m"))
+    means = quality(spark, d).groupBy("task_type", "topk").agg(X.exact_mean(F.col("recall")).alias("m"))
     return S.pivot(means, "task_type", "topk", TOPK, m9(F.first("m")))
 
 
@@ -257,6 +283,9 @@ QUERIES = {
     "q_recall_density": recall_density,
     "q_recall_centers": recall_centers,
     "q_similarity_recall": similarity_recall,
+    "q_similarity_points": similarity_points,
+    "q_keyword_quality": keyword_quality,
+    "q_text_search": text_search,
     "q_hardness": hardness,
     "q_plan_hits": plan_hits,
     "q_adaptive": adaptive_comparison,
@@ -265,6 +294,11 @@ QUERIES = {
     "q_cost_success": cost_success_points,
 }
 
+def _drawn(probability: str, *key: str) -> str:
+    text = " || '|' || ".join(("'outcome'", *key))
+    return f"(('0x' || md5({text})[1:12])::BIGINT / {float(2**48)!r} < {probability})"
+
+
 _BUDGET_SQL = (
     COSTS_SQL
     + """,
@@ -302,6 +336,14 @@ quality AS (
     FROM rates
 )"""
 )
+_KEYWORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''){1})"
+_KEYWORD_SQL = _QUALITY_SQL.replace(
+    "gold AS (SELECT t.task_id, p.doc_id FROM tasks t JOIN pool p ON p.label = t.label AND p.doc_id <> t.vec_id)",
+    f"""sets AS (SELECT task_id, doc_id, {_KEYWORDS.format('query', '')} AS a, {_KEYWORDS.format('p.text', '[1:20]')} AS b
+    FROM tasks t CROSS JOIN pool p WHERE p.doc_id <> t.vec_id),
+gold AS (SELECT task_id, doc_id FROM sets WHERE len(list_intersect(a, b)) >= 3
+    OR (len(list_intersect(a, b)) > 0 AND len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) > 0.15))""",
+)
 _HARD_SQL = (
     HITS_SQL
     + f""",
@@ -348,7 +390,7 @@ def _bins(low: float, width: float, n: int, name: str = "bins") -> str:
 
 def _centers(base: str, table_: str, value: str, target: str, by: str, low: float, width: float, n: int) -> str:
     return (
-        f"WITH {base}, {_bins(low, width, n)} SELECT {by}, round({low} + (bin + 0.5) * {width}, 6) AS center, round(avg({target}) + 3e-11, 9) AS mean, count(*) AS n "
+        f"WITH {base}, {_bins(low, width, n)} SELECT {by}, round({low} + (bin + 0.5) * {width}, 6) AS center, round(sum(({target})::DECIMAL(38,12))::DOUBLE / count({target}), 9) AS mean, count(*) AS n "
         f"FROM {table_} JOIN bins ON {value} > lo AND {value} <= hi GROUP BY {by}, bin HAVING count(*) >= 3"
     )
 
@@ -380,22 +422,27 @@ SQL = {
     "q_cost_unpivot": f"WITH {COSTS_SQL} SELECT task_id, 'c' || topk AS variable, token_cost AS value FROM costs",
     "q_cost_rollup": f"WITH {COSTS_SQL} SELECT coalesce(c.task_type, 'all') AS task_type, coalesce(c.topk, -1)::INT AS topk, sum(token_cost)::BIGINT AS total, count(*) AS n FROM costs c GROUP BY CUBE (c.task_type, c.topk)",
     "q_budget_simulation": f"""WITH {_BUDGET_SQL} SELECT task_id, task_type, topk, budget, left_tokens::BIGINT AS context_tokens, (left_tokens - budget)::BIGINT AS deviation,
-        round(deviation_ratio, 9) AS deviation_ratio, round(utilization, 9) AS utilization, round(success_prob, 9) AS success_prob FROM budget""",
-    "q_budget_bins": f"""WITH {_BUDGET_SQL}, {_bins(-1.0, 0.1, 24)} SELECT bin::INT AS bin, round(avg(success_prob) + 3e-11, 9) AS mean, count(success_prob) AS n
+        round(deviation_ratio, 9) AS deviation_ratio, round(utilization, 9) AS utilization, round(success_prob, 9) AS success_prob,
+        {_drawn('success_prob', 'task_id', 'topk::VARCHAR', 'budget::VARCHAR')} AS success FROM budget""",
+    "q_budget_bins": f"""WITH {_BUDGET_SQL}, {_bins(-1.0, 0.1, 24)} SELECT bin::INT AS bin, round(sum((success_prob)::DECIMAL(38,12))::DOUBLE / count(success_prob), 9) AS mean, count(success_prob) AS n
         FROM bins LEFT JOIN budget ON deviation_ratio > lo AND deviation_ratio <= hi GROUP BY 1""",
     "q_budget_centers": _centers(_BUDGET_SQL, "budget", "utilization", "success_prob", "budget", 0.0, 0.05, 39),
     "q_deviation_centers": _centers(_BUDGET_SQL, "budget", "deviation_ratio", "success_prob", "budget", -1.0, 0.05, 49),
-    "q_budget_pivot": f"""WITH {_BUDGET_SQL} SELECT budget, {', '.join(f'round(avg(success_prob) FILTER (WHERE topk = {k}) + 3e-11, 9) AS c{k}' for k in TOPK)} FROM budget GROUP BY 1""",
+    "q_budget_pivot": f"""WITH {_BUDGET_SQL} SELECT budget, {', '.join(f'round(sum((success_prob)::DECIMAL(38,12)) FILTER (WHERE topk = {k})::DOUBLE / count(success_prob) FILTER (WHERE topk = {k}), 9) AS c{k}' for k in TOPK)} FROM budget GROUP BY 1""",
     "q_gold": """WITH q AS (SELECT item_id AS task_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS a FROM benchmark),
         d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:20]) AS b FROM documents),
         p AS (SELECT task_id, doc_id, len(list_intersect(a, b)) AS overlap, len(a) + len(b) AS total FROM q CROSS JOIN d)
         SELECT task_id, doc_id, overlap, round(overlap / (total - overlap), 9) AS jaccard FROM p
         WHERE overlap > 0 AND (overlap / (total - overlap) > 0.15 OR overlap >= 3)""",
     "q_quality": f"""WITH {_QUALITY_SQL} SELECT task_id, task_type, topk, retrieved_count, gold_count, overlap, round(recall, 9) AS recall,
-        round(precision, 9) AS precision, round(f1, 9) AS f1, round(success, 9) AS success FROM quality""",
-    "q_quality_by_topk": f"""WITH {_QUALITY_SQL} SELECT topk, round(avg(recall) + 3e-11, 9) AS recall, round(avg(precision) + 3e-11, 9) AS precision, round(avg(f1) + 3e-11, 9) AS f1,
-        round(avg(success) + 3e-11, 9) AS success, round(stddev_samp(recall), 9) AS recall_std FROM quality GROUP BY 1""",
-    "q_quality_pivot": f"""WITH {_QUALITY_SQL} SELECT task_type, {', '.join(f'round(avg(recall) FILTER (WHERE topk = {k}) + 3e-11, 9) AS c{k}' for k in TOPK)} FROM quality GROUP BY 1""",
+        round(precision, 9) AS precision, round(f1, 9) AS f1, round(success, 9) AS success, {_drawn('success', 'task_id', 'topk::VARCHAR')} AS agent_success FROM quality""",
+    "q_keyword_quality": f"""WITH {_KEYWORD_SQL} SELECT task_id, task_type, topk, retrieved_count, gold_count, overlap, round(recall, 9) AS recall,
+        round(precision, 9) AS precision, round(f1, 9) AS f1, round(success, 9) AS success, {_drawn('success', 'task_id', 'topk::VARCHAR')} AS agent_success FROM quality""",
+    "q_similarity_points": f"""WITH {_QUALITY_SQL}, s AS (SELECT task_id, topk, avg(1 / (1 + dist)) AS similarity FROM hits JOIN (VALUES (5), (10), (20)) AS k(topk) ON rank <= topk GROUP BY ALL)
+        SELECT task_id, task_type, topk, round(similarity, 9) AS similarity, round(recall, 9) AS recall FROM quality JOIN s USING (task_id, topk)""",
+    "q_quality_by_topk": f"""WITH {_QUALITY_SQL} SELECT topk, round(sum((recall)::DECIMAL(38,12))::DOUBLE / count(recall), 9) AS recall, round(sum((precision)::DECIMAL(38,12))::DOUBLE / count(precision), 9) AS precision, round(sum((f1)::DECIMAL(38,12))::DOUBLE / count(f1), 9) AS f1,
+        round(sum((success)::DECIMAL(38,12))::DOUBLE / count(success), 9) AS success, round(stddev_samp(recall), 9) AS recall_std FROM quality GROUP BY 1""",
+    "q_quality_pivot": f"""WITH {_QUALITY_SQL} SELECT task_type, {', '.join(f'round(sum((recall)::DECIMAL(38,12)) FILTER (WHERE topk = {k})::DOUBLE / count(recall) FILTER (WHERE topk = {k}), 9) AS c{k}' for k in TOPK)} FROM quality GROUP BY 1""",
     "q_recall_density": f"""WITH {_QUALITY_SQL}, l AS (SELECT topk, min(recall) AS lo, (max(recall) - min(recall)) / 20 AS w, count(*) AS n FROM quality GROUP BY 1),
         b AS (SELECT topk, CASE WHEN w > 0 THEN least(floor((recall - lo) / w), 19) ELSE 0 END::INT AS bin, n, w FROM quality JOIN l USING (topk))
         SELECT topk, bin, round(CASE WHEN any_value(w) > 0 THEN count(*) / (any_value(n) * any_value(w)) ELSE 0 END, 6) AS density FROM b GROUP BY topk, bin""",
@@ -407,8 +454,8 @@ SQL = {
     "q_adaptive": f"""WITH {_HARD_SQL} SELECT task_id, task_type, round(hardness, 9) AS hardness, hardness_class, strategy AS adaptive_strategy, topk AS adaptive_topk,
         adaptive_cost, adaptive_cost * multiplier::DOUBLE AS estimated_cost, round(adaptive_success, 9) AS adaptive_success, naive_cost, round(naive_success, 9) AS naive_success,
         naive_cost - adaptive_cost AS cost_savings, round(adaptive_success - naive_success, 9) AS success_improvement FROM compared""",
-    "q_adaptive_by_class": f"""WITH {_HARD_SQL} SELECT c.hardness_class, count(task_id) AS n, round(avg(adaptive_cost) + 3e-11, 9) AS adaptive_cost, round(avg(naive_cost) + 3e-11, 9) AS naive_cost,
-        round(avg(adaptive_success) + 3e-11, 9) AS adaptive_success, round(avg(naive_success) + 3e-11, 9) AS naive_success
+    "q_adaptive_by_class": f"""WITH {_HARD_SQL} SELECT c.hardness_class, count(task_id) AS n, round(sum((adaptive_cost)::DECIMAL(38,12))::DOUBLE / count(adaptive_cost), 9) AS adaptive_cost, round(sum((naive_cost)::DECIMAL(38,12))::DOUBLE / count(naive_cost), 9) AS naive_cost,
+        round(sum((adaptive_success)::DECIMAL(38,12))::DOUBLE / count(adaptive_success), 9) AS adaptive_success, round(sum((naive_success)::DECIMAL(38,12))::DOUBLE / count(naive_success), 9) AS naive_success
         FROM (VALUES ('easy'), ('hard')) AS c(hardness_class) LEFT JOIN compared USING (hardness_class) GROUP BY 1""",
     "q_savings_histogram": f"""WITH {_HARD_SQL}, s AS (SELECT naive_cost - adaptive_cost AS v FROM compared), l AS (SELECT min(v) AS lo, (max(v) - min(v)) / 20 AS w FROM s)
         SELECT CASE WHEN w > 0 THEN least(floor((v - lo) / w), 19) ELSE 0 END::INT AS bin, count(*) AS n FROM s CROSS JOIN l GROUP BY 1""",

@@ -1,8 +1,8 @@
 """The base relations of the registered queries, as DataFrames and as SQL.
 
-Tasks are the embeddings with the smallest thirty ids: their text query is the benchmark item of that
-id and their type follows from the label. The pool is documents joined to embeddings by id; a task's
-own document is no hit.
+Tasks are the embeddings whose id is divisible by fifty: their text queries are the benchmark items in turn
+and their type follows from the label. The pool is documents joined to embeddings by id; a task's own
+document is no hit.
 """
 
 from __future__ import annotations
@@ -13,21 +13,29 @@ from pyspark.sql import functions as F
 from ..operators import retrieval
 from ..sources.tables import table
 
-N_TASKS = 30
+EVERY = 50
 TOPK = [5, 10, 20]
 BUDGETS = [500, 1000, 2000, 4000, 8000, 16000]
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_TASKS)
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0)
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    n_items = b.agg(F.count(F.lit(1)).alias("n_items"))
+    e = e.crossJoin(F.broadcast(n_items)).withColumn("item_id", (F.col("vec_id") / EVERY).cast("bigint") % F.col("n_items"))  # one row
     kind = F.when(F.col("label") % 3 == 0, "code").when(F.col("label") % 3 == 1, "sql").otherwise("dialog")
-    return e.join(b, e["vec_id"] == b["item_id"]).select(
+    return e.join(b, "item_id").select(
         F.concat(F.lit("task_"), F.col("vec_id")).alias("task_id"), "query", kind.alias("task_type"),
         F.col("embedding").alias("query_vector"), "vec_id", "label",
     )
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst) over all documents: each leads to the one with half its number, as if derived from it."""
+    d = table(spark, sf_dir, "documents").where("doc_id > 0")
+    return d.select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst"))
+
+
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     return d.join(e, d["doc_id"] == e["vec_id"]).select("doc_id", "text", "lang", "source", "embedding", "label")
@@ -44,7 +52,7 @@ tasks AS (
     SELECT 'task_' || e.vec_id AS task_id, b.text AS query,
            CASE e.label % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'sql' ELSE 'dialog' END AS task_type,
            e.embedding AS query_vector, e.vec_id, e.label
-    FROM embeddings e JOIN benchmark b ON b.item_id = e.vec_id WHERE e.vec_id < {N_TASKS}
+    FROM embeddings e JOIN benchmark b ON b.item_id = (e.vec_id // {EVERY}) % (SELECT count(*) FROM benchmark) WHERE e.vec_id % {EVERY} = 0
 )"""
 HITS_SQL = (
     TASKS_SQL

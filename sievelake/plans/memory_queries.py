@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import budget as B
-from ..operators import graph, hybrid, memory, retrieval
+from ..operators import statistics as S
+from ..operators import graph, hybrid, memory, retrieval, temporal
 from ..sources.tables import table
 from ..streaming import memory_metrics
-from .context_query import ContextQuery, choose
+from .context_query import ContextQuery, choose, cost_terms, estimated_cost
 from .experiment_queries import same_label_gold
-from .inputs import HITS_SQL, TOPK, hits, pool, tasks
+from .inputs import HITS_SQL, TOPK, edges, hits, pool, tasks
 
 BUDGET = 2000
 
@@ -49,7 +51,12 @@ def plan_candidates(spark, d):
 
 
 def cost_model(spark, d):
-    return plan_candidates(spark, d).withColumn("est_cost", F.col("est_tokens") + 20.0 * F.col("topk"))
+    """The terms of each candidate's cost, as it is and with summaries of a quarter of its tokens."""
+    both = plan_candidates(spark, d).withColumn("summarised", F.explode(F.array(F.lit(False), F.lit(True))))
+    read = F.when(F.col("summarised"), F.col("est_tokens")).otherwise(0)
+    left = F.when(F.col("summarised"), F.ceil(F.col("est_tokens") / 4)).otherwise(F.col("est_tokens"))
+    terms = cost_terms(left, F.col("topk"), read)
+    return both.select("task_id", "topk", "summarised", *[c.alias(n) for n, c in terms.items()], estimated_cost(left, F.col("topk"), read).alias("est_cost"))
 
 
 def optimizer(spark, d):
@@ -61,12 +68,6 @@ def context_query(spark, d):
     return q.run(tasks(spark, d), pool(spark, d), exclude="vec_id").select("task_id", "doc_id", "rank", "tokens")
 
 
-def edges(spark, d):
-    """Documents are linked when one is among the five nearest of the other; only tasks' documents are searched."""
-    e = hits(spark, d).where("rank <= 5").join(tasks(spark, d).select("task_id", "vec_id"), "task_id")
-    return e.select(F.col("vec_id").alias("src"), F.col("doc_id").alias("dst"))
-
-
 def graph_hops(spark, d):
     e = edges(spark, d)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -75,7 +76,7 @@ def graph_hops(spark, d):
 
 
 def pipeline_plan(spark, d):
-    """Vector search, graph expansion, pruning of copies, budget."""
+    """Vector search, graph expansion, then pruning of copies, and the budget."""
     q = ContextQuery().nearest(5).expand(1).without_copies().within(BUDGET)
     return q.run(tasks(spark, d), pool(spark, d), edges(spark, d), exclude="vec_id").groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
 
@@ -123,8 +124,10 @@ def trace_rows(spark, d):
 
 
 def replay(spark, d):
-    """Trace rows that a second run doesn't give again: none."""
-    return memory.replay_diff(trace_rows(spark, d), trace_rows(spark, d)).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    """Traces that a replay doesn't give again, after documents with an id divisible by five have gone from the pool."""
+    changed = B.select_prefix(sized_hits(spark, d).where("doc_id % 5 <> 0"), BUDGET, ["task_id"])
+    diff = memory.replay_diff(trace_rows(spark, d), memory.trace(changed, ["task_id"], "prefix"))
+    return diff.select("side", "task_id", "doc_ids", "n")
 
 
 def fingerprint(spark, d):
@@ -139,10 +142,11 @@ def snapshot_diff(spark, d):
 
 
 def branch_merge(spark, d):
+    """Ours changes and deletes, theirs changes, deletes and sets nulls: all kinds of conflict occur."""
     base = table(spark, d, "documents").select("doc_id", "lang")
-    ours = base.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang")))
-    theirs = base.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "yy").otherwise(F.col("lang")))
-    return memory.merge_branches(base, ours, theirs, "doc_id", "lang").groupBy("lang", "conflict").agg(F.count(F.lit(1)).alias("n"))
+    ours = base.where("doc_id % 7 <> 0").withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang")))
+    theirs = base.where("doc_id % 5 <> 0").withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "yy").when(F.col("doc_id") % 11 == 0, None).otherwise(F.col("lang")))
+    return memory.merge_branches(base, ours, theirs, "doc_id", "lang").groupBy("lang", "deleted", "conflict").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tenant_view(spark, d):
@@ -170,7 +174,12 @@ def latest_state(spark, d):
 
 
 def _place(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="memory-")
+    """A new path in the folder that all executors share; a temporary one only where all runs in one process."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="memory-")
     return f"{root.rstrip('/')}/memory-{uuid.uuid4().hex}"
 
 
@@ -209,7 +218,40 @@ def props_json(spark, d):
     return kinds.groupBy("event_type").agg(F.sum("n_keys").alias("n_keys"), F.count(F.lit(1)).alias("n"))
 
 
+def _timed(spark, d):
+    return table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def as_of_join(spark, d):
+    """Each purchase with the user's last view before it."""
+    e = _timed(spark, d)
+    kinds = ("purchase", "view")
+    bought, seen = (e.where(F.col("event_type") == k) for k in kinds)
+    return temporal.as_of(bought, seen, "user_id", "ts", ["event_id", "value"], "event_id").select("event_id", "user_id", "last_event_id", "last_value")
+
+
+def range_join(spark, d):
+    """Pairs of one user's events at most an hour apart, views first and purchases second."""
+    e = _timed(spark, d)
+    pairs = temporal.within_range(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", "ts", 3600)
+    return pairs.select("event_id", "event_id_right", "user_id")
+
+
+def approximate_profile(spark, d):
+    """Sketches of event values per type."""
+    return S.approximate(table(spark, d, "events"), "value", "user_id", ["event_type"])
+
+
+def sliding_growth(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return memory_metrics.sliding(e).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_events", "users")
+
+
 QUERIES = {
+    "q_as_of_join": as_of_join,
+    "q_range_join": range_join,
+    "q_approximate": approximate_profile,
+    "q_sliding": sliding_growth,
     "q_select_prefix": select_prefix,
     "q_select_skipping": select_skipping,
     "q_select_dense": select_dense,
@@ -283,17 +325,25 @@ parts AS (SELECT word, doc_id, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2
 scored AS (SELECT task_id, doc_id, round(sum(part), 9) AS score FROM asked JOIN parts USING (word) GROUP BY 1, 2),
 bm25 AS (SELECT * FROM (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored) WHERE rank <= 20)"""
 _EDGES = """
-edges AS (SELECT t.vec_id AS src, h.doc_id AS dst FROM hits h JOIN tasks t USING (task_id) WHERE h.rank <= 5)"""
+edges AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0)"""
 
 SQL = {
+    "q_range_join": """SELECT a.event_id, b.event_id AS event_id_right, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR
+        WHERE a.event_type = 'view' AND b.event_type = 'purchase'""",
+    "q_as_of_join": """SELECT p.event_id, p.user_id, v.event_id AS last_event_id, v.value AS last_value
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN LATERAL
+            (SELECT event_id, value FROM events e WHERE e.event_type = 'view' AND e.user_id = p.user_id AND e.ts <= p.ts ORDER BY ts DESC, event_id DESC LIMIT 1) v ON true""",
     "q_select_prefix": f"WITH {_PREFIX} SELECT task_id, rank, doc_id, tokens, used_tokens::BIGINT AS used_tokens FROM prefix",
     "q_select_skipping": f"WITH RECURSIVE {_SIZED}" + _GREEDY.format(order="rank", budget=BUDGET),
     "q_select_dense": f"WITH RECURSIVE {_SIZED}" + _GREEDY.format(order="round(relevance / tokens, 9) DESC, rank", budget=BUDGET),
     "q_fixed_block": f"WITH {_SIZED} SELECT task_id, sum(tokens)::BIGINT AS tokens FROM sized WHERE rank <= 4 GROUP BY 1",
-    "q_cost_model": f"WITH {_PLANS} SELECT *, est_tokens + 20.0::DOUBLE * topk AS est_cost FROM plans",
-    "q_optimizer": f"""WITH {_PLANS} SELECT task_id, topk, est_tokens, est_recall, est_tokens + 20.0::DOUBLE * topk AS est_cost FROM plans
+    "q_cost_model": f"""WITH {_PLANS}, b AS (SELECT task_id, topk, s AS summarised, CASE WHEN s THEN est_tokens ELSE 0 END AS src, CASE WHEN s THEN ceil(est_tokens / 4) ELSE est_tokens END AS t
+            FROM plans CROSS JOIN (VALUES (false), (true)) AS v(s))
+        SELECT task_id, topk, summarised, t::DOUBLE AS token_cost, 20.0::DOUBLE * topk AS retrieval_cost, 0.5::DOUBLE * src AS summary_cost, 0.125::DOUBLE * t AS forward_cost,
+               1.125::DOUBLE * t + 20.0::DOUBLE * topk + 0.5::DOUBLE * src AS est_cost FROM b""",
+    "q_optimizer": f"""WITH {_PLANS} SELECT task_id, topk, est_tokens, est_recall, 1.125::DOUBLE * est_tokens + 20.0::DOUBLE * topk AS est_cost FROM plans
         QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY est_tokens > 8000, CASE WHEN est_tokens > 8000 THEN est_tokens ELSE 0 END,
-            CASE WHEN est_recall >= 0.1 THEN 0 ELSE 1 - est_recall END, est_tokens + 20 * topk, topk) = 1""",
+            CASE WHEN est_recall >= 0.1 THEN 0 ELSE 1 - est_recall END, 1.125::DOUBLE * est_tokens + 20 * topk, topk) = 1""",
     "q_context_query": f"""WITH {HITS_SQL}, en AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY dist, doc_id)::INT AS r FROM distances JOIN documents USING (doc_id) WHERE lang = 'en'),
         once AS (SELECT * FROM en WHERE r <= 10 QUALIFY row_number() OVER (PARTITION BY task_id, text ORDER BY r) = 1),
         used AS (SELECT task_id, doc_id, r AS rank, ceil(length(text) / 4)::BIGINT AS tokens, sum(ceil(length(text) / 4)) OVER (PARTITION BY task_id ORDER BY r) AS used FROM once)
@@ -302,13 +352,12 @@ SQL = {
         h0 AS (SELECT task_id, vec_id AS node FROM tasks), h1 AS (SELECT DISTINCT task_id, dst AS node FROM h0 JOIN e ON src = node),
         h2 AS (SELECT DISTINCT task_id, dst AS node FROM h1 JOIN e ON src = node)
         SELECT task_id, node, min(hop)::INT AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2""",
-    "q_pipeline_plan": f"""WITH {HITS_SQL}, {_EDGES}, near AS (SELECT h.task_id, h.rank, h.doc_id, d.text FROM hits h JOIN documents d USING (doc_id) WHERE h.rank <= 5
-            QUALIFY row_number() OVER (PARTITION BY h.task_id, d.text ORDER BY h.rank) = 1),
-        more AS (SELECT DISTINCT n.task_id, 6 AS rank, e.dst AS doc_id FROM near n JOIN edges e ON e.src = n.doc_id WHERE e.dst IN (SELECT doc_id FROM pool)
-            AND NOT EXISTS (SELECT 1 FROM near x WHERE x.task_id = n.task_id AND x.doc_id = e.dst)),
-        cands AS (SELECT task_id, rank, doc_id FROM near UNION ALL SELECT * FROM more),
-        used AS (SELECT task_id, ceil(length(text) / 4)::BIGINT AS tokens, sum(ceil(length(text) / 4)) OVER (PARTITION BY task_id ORDER BY rank, doc_id) AS used
-            FROM cands JOIN documents USING (doc_id))
+    "q_pipeline_plan": f"""WITH {HITS_SQL}, {_EDGES}, near AS (SELECT task_id, rank, doc_id FROM hits WHERE rank <= 5),
+        more AS (SELECT DISTINCT n.task_id, 6 AS rank, e.dst AS doc_id FROM near n JOIN edges e ON e.src = n.doc_id JOIN tasks t ON t.task_id = n.task_id
+            WHERE e.dst IN (SELECT doc_id FROM pool) AND e.dst <> t.vec_id AND NOT EXISTS (SELECT 1 FROM near x WHERE x.task_id = n.task_id AND x.doc_id = e.dst)),
+        cands AS (SELECT c.*, d.text FROM (SELECT * FROM near UNION ALL SELECT * FROM more) c JOIN documents d USING (doc_id)
+            QUALIFY row_number() OVER (PARTITION BY task_id, text ORDER BY rank, doc_id) = 1),
+        used AS (SELECT task_id, ceil(length(text) / 4)::BIGINT AS tokens, sum(ceil(length(text) / 4)) OVER (PARTITION BY task_id ORDER BY rank, doc_id) AS used FROM cands)
         SELECT task_id, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM used WHERE used <= {BUDGET} GROUP BY 1""",
     "q_workflow_closure": """WITH n AS (SELECT conv_id * 1000 + turn AS id FROM conversations), e AS (SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON b.id = a.id + 1),
         e2 AS (SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src), e3 AS (SELECT a.src, b.dst FROM e2 a JOIN e b ON a.dst = b.src)
@@ -324,16 +373,23 @@ SQL = {
         SELECT task_id, rank, doc_id, round(score, 9) AS score FROM r WHERE rank <= 10""",
     "q_trace": f"""WITH {_PREFIX}, t AS (SELECT task_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids, sum(tokens)::BIGINT AS tokens, count(*) AS n FROM prefix GROUP BY 1)
         SELECT *, md5(task_id || '|prefix|' || doc_ids) AS trace_id FROM t""",
-    "q_replay": "SELECT '' AS side, 0::BIGINT AS n WHERE false",
-    "q_pool_fingerprint": """WITH h AS (SELECT md5(doc_id || '|' || coalesce(text, '')) AS d FROM documents)
-        SELECT count(*) AS n, sum(('0x' || d[1:6])::BIGINT)::BIGINT AS sum_a, sum(('0x' || d[7:12])::BIGINT)::BIGINT AS sum_b FROM h""",
+    "q_replay": f"""WITH {_PREFIX}, t AS (SELECT task_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids, count(*) AS n FROM prefix GROUP BY 1),
+        p2 AS (SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY task_id ORDER BY rank) AS used FROM sized WHERE doc_id % 5 <> 0) WHERE used <= {BUDGET}),
+        t2 AS (SELECT task_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids, count(*) AS n FROM p2 GROUP BY 1)
+        SELECT 'recorded' AS side, * FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM t2) UNION ALL SELECT 'replayed', * FROM (SELECT * FROM t2 EXCEPT ALL SELECT * FROM t)""",
+    "q_pool_fingerprint": """WITH h AS (SELECT md5(doc_id || '|' || (text IS NULL)::INT || '|' || coalesce(text, '')) AS d FROM documents)
+        SELECT count(*) AS n, sum(('0x' || d[1:15])::BIGINT)::VARCHAR AS sum_a, sum(('0x' || d[16:30])::BIGINT)::VARCHAR AS sum_b FROM h""",
     "q_snapshot_diff": """WITH a AS (SELECT doc_id, md5(text) AS v FROM documents),
         b AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END) AS v FROM documents WHERE doc_id % 7 <> 0
               UNION ALL SELECT doc_id + 1000000000, md5(text) FROM documents WHERE doc_id % 11 = 0)
         SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
         FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.v IS DISTINCT FROM b.v""",
-    "q_branch_merge": """SELECT CASE WHEN doc_id % 3 = 0 THEN 'xx' WHEN doc_id % 2 = 0 THEN 'yy' ELSE lang END AS lang, doc_id % 6 = 0 AS conflict, count(*) AS n
-        FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2""",
+    "q_branch_merge": """WITH s AS (
+            SELECT doc_id, lang AS b, doc_id % 7 <> 0 AS o_in, CASE WHEN doc_id % 7 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END END AS o,
+                   doc_id % 5 <> 0 AS t_in, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'yy' WHEN doc_id % 11 = 0 THEN NULL ELSE lang END END AS t FROM documents),
+        c AS (SELECT *, (NOT o_in OR o IS DISTINCT FROM b) AS oc, (NOT t_in OR t IS DISTINCT FROM b) AS tc, (o_in <> t_in OR o IS DISTINCT FROM t) AS apart FROM s),
+        m AS (SELECT CASE WHEN oc THEN o ELSE t END AS lang, NOT (CASE WHEN oc THEN o_in ELSE t_in END) AS deleted, oc AND tc AND apart AS conflict FROM c)
+        SELECT lang, deleted, conflict, count(*) AS n FROM m WHERE conflict OR NOT deleted GROUP BY ALL""",
     "q_tenant_view": "SELECT doc_id, sha256(text) AS text, lang FROM documents WHERE source = 'src0'",
     "q_injection": f"""SELECT lang, sum(regexp_matches(text, '{memory.INJECTION}')::INT)::BIGINT AS flagged, count(*) AS n FROM documents GROUP BY 1""",
     "q_stale": """WITH l AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1)

@@ -47,6 +47,46 @@ DIALOG_QUERIES = [
 QUERIES = {"code": CODE_QUERIES, "sql": SQL_QUERIES, "dialog": DIALOG_QUERIES}
 
 
+# The thirty topics of synthetic documents.
+CODE_TOPICS = [
+    "Binary search tree implementation with detailed examples",
+    "Python list vs tuple: mutability, performance, use cases",
+    "Exception handling in Java: try-catch, finally, custom exceptions",
+    "Observer pattern: definition, UML diagram, code examples",
+    "Database query optimization: indexing, query plans, caching",
+    "JavaScript async/await: promises, error handling, best practices",
+    "REST API design: endpoints, HTTP methods, status codes",
+    "Dependency injection: IoC containers, benefits, examples",
+    "Python decorators: syntax, use cases, advanced patterns",
+    "Stack vs Queue: data structures, operations, applications",
+]
+SQL_TOPICS = [
+    "SQL JOIN operations: INNER, LEFT, RIGHT, FULL OUTER JOIN",
+    "SQL query optimization: indexes, execution plans, statistics",
+    "Window functions: ROW_NUMBER, RANK, DENSE_RANK, aggregate functions",
+    "NULL handling: IS NULL, COALESCE, NULLIF, three-valued logic",
+    "Subqueries: correlated, uncorrelated, EXISTS, IN, scalar subqueries",
+    "Database indexing: B-tree, hash indexes, composite indexes",
+    "ACID properties: atomicity, consistency, isolation, durability",
+    "Recursive CTEs: hierarchical queries, graph traversal",
+    "SQL DELETE vs TRUNCATE: differences, use cases, performance",
+    "SQL best practices: normalization, denormalization, query patterns",
+]
+LEARNING_TOPICS = [
+    "Machine learning introduction: supervised, unsupervised, reinforcement",
+    "Neural networks: perceptrons, backpropagation, activation functions",
+    "Gradient descent: batch, stochastic, mini-batch, learning rate",
+    "Overfitting: causes, detection, prevention techniques",
+    "Model evaluation: accuracy, precision, recall, F1, ROC curve",
+    "Cross-validation: k-fold, stratified, leave-one-out",
+    "Regularization: L1, L2, dropout, early stopping",
+    "Imbalanced datasets: SMOTE, undersampling, class weights",
+    "Feature engineering: scaling, encoding, selection, extraction",
+    "Deep learning: CNNs, RNNs, transformers, attention mechanisms",
+]
+TOPICS = [*CODE_TOPICS, *SQL_TOPICS, *LEARNING_TOPICS]
+
+
 def tasks(spark: SparkSession, kind: str, n: int = 100, seed: int = 0, queries: list[str] | None = None) -> DataFrame:
     """``n`` tasks (task_id, query, task_type), each with a question drawn with replacement."""
     options = queries or QUERIES[kind]
@@ -70,9 +110,10 @@ def documents(
 ) -> DataFrame:
     """``n`` documents (doc_id, text) of ``low`` up to, but without, ``high`` characters.
 
-    A document repeats words of one topic, drawn with replacement, until it is long enough, and is cut.
+    A document is one topic, ten blanks, and words of it, drawn with replacement and each after a blank, until it is
+    long enough, and is cut.
     """
-    topics = topics or [q.rstrip("?") for kind in QUERIES.values() for q in kind]
+    topics = topics or TOPICS
     table = F.array(*[F.split(F.lit(t), " ") for t in topics])
     doc = spark.range(n).withColumnRenamed("id", "doc_id")
     doc = doc.select(
@@ -88,5 +129,5 @@ def documents(
             (1 + F.floor(R.uniform(seed, "word", F.col("doc_id"), i) * F.size("topic"))).cast("int"),
         ),
     )
-    text = F.concat(F.array_join("topic", " "), F.lit(" " * 10), F.array_join(drawn, " "))
+    text = F.concat(F.array_join("topic", " "), F.lit(" " * 11), F.array_join(drawn, " "))
     return doc.select("doc_id", F.substring(text, F.lit(1), F.col("size")).alias("text"))

@@ -71,7 +71,7 @@ def test_context_query_is_immutable_and_serialises(spark, sf):
     b = a.nearest(3).within(500, "skip").summarised(1)
     assert a.plan == Plan() and json.loads(b.plan.to_json())["topk"] == 3
     out = b.run(tasks(spark, sf), pool(spark, sf), exclude="vec_id")
-    assert out.columns == ["task_id", "doc_id", "rank", "tokens"] and out.count() > 0
+    assert out.columns == ["task_id", "doc_id", "rank", "tokens", "summary"] and out.count() > 0
 
 
 def test_replay_finds_differences(spark):
@@ -115,3 +115,99 @@ def test_the_flagship_query_runs(spark):
 
     assert __spark_entry__.entry(spark).count() == 3
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_command_line_writes_csv_and_says_what_failed(spark, sf, tmp_path, monkeypatch, capsys):
+    from sievelake import __main__ as cli
+
+    monkeypatch.setattr(cli, "EXPERIMENTS", {1: ("costs", ["q_cost_percentiles"]), 2: ("none", ["q_not_there"])})
+    assert cli.main(["--data", sf, "--output-dir", str(tmp_path), "--test", "1"]) == 0
+    (csv,) = (tmp_path / "test1" / "cost_percentiles").glob("*.csv")
+    assert csv.read_text().startswith("topk,p50") and len(csv.read_text().splitlines()) == 4
+    assert cli.main(["--data", sf, "--output-dir", str(tmp_path)]) == 1
+    assert "experiment 1, costs: done" in capsys.readouterr().out
+
+
+def test_command_line_names_registered_queries():
+    from sievelake import __main__ as cli
+    from sievelake.plans import registry
+
+    assert {q for _, names in cli.EXPERIMENTS.values() for q in names} <= set(registry.queries())
+
+
+def test_expansion_needs_edges(spark, sf):
+    with pytest.raises(ValueError, match="edges"):
+        ContextQuery().expand(1).run(tasks(spark, sf), pool(spark, sf))
+
+
+def test_summaries_come_with_the_context(spark, sf):
+    out = ContextQuery().nearest(3).summarised(1).within(5000).run(tasks(spark, sf), pool(spark, sf), exclude="vec_id")
+    assert out.columns == ["task_id", "doc_id", "rank", "tokens", "summary"]
+    assert all(r.tokens == -(-len(r.summary) // 4) for r in out.collect())
+
+
+def test_branch_conflicts(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    base = frame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "e"), (6, "f")])
+    ours = frame([(1, "x"), (3, "c"), (4, None), (5, "same"), (7, "new")])
+    theirs = frame([(1, "y"), (2, "changed"), (4, "d"), (5, "same"), (6, None), (7, "other")])
+    got = {tuple(r) for r in memory.merge_branches(base, ours, theirs, "k", "v").collect()}
+    # 3: theirs deleted what ours left alone; 6: ours deleted, theirs set null
+    assert got == {(1, "x", False, True), (2, None, True, True), (4, "d", False, False), (5, "same", False, False), (6, None, True, True), (7, "new", False, True)}
+
+
+def test_text_search_equals_a_plain_one(spark, sf):
+    import numpy as np
+
+    from sievelake.plans import registry
+
+    encode = tables.hashed_embedder(64)()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    asked = {r.task_id: r.query for r in tasks(spark, sf).collect()}
+    vectors = np.array(encode([t for _, t in docs]), np.float32).astype(float)
+    want = set()
+    for task, query in asked.items():
+        d = ((vectors - np.array(encode([query])[0], np.float32)) ** 2).sum(axis=1)
+        ranked = sorted((round(float(x), 12), i) for x, (i, _) in zip(d, docs, strict=True))[:10]
+        want |= {(task, n, i) for n, (_, i) in enumerate(ranked, 1)}
+    got = {(r.task_id, r["rank"], r.doc_id) for r in registry.queries()["q_text_search"](spark, sf).collect()}
+    assert got == want
+
+
+def test_sketches_are_near(spark):
+    from sievelake.operators import statistics
+
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"), (F.col("id") % 500).alias("u"))
+    for r in statistics.approximate(rows, "v", "u", ["g"]).collect():
+        assert r.n == 10_000 and abs(r.n_distinct - 250) <= 15 and abs(r.p50 - 10_000) < 200 and abs(r.p99 - 19_800) < 200
+
+
+def test_sliding_windows_and_late_rows(spark, sf, tmp_path):
+    e = tables.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = e.collect()
+    got = {r.window_start: r.n_events for r in memory_metrics.sliding(e).collect()}
+    import datetime
+
+    for start, n in got.items():
+        assert n == sum(start <= r.ts < start + datetime.timedelta(days=2) for r in rows)
+    # a row that comes later than the watermark allows is left out of the closed windows
+    (tmp_path / "in").mkdir()
+    day = lambda n: datetime.datetime(2024, 1, n, 12)
+    for k, days in enumerate([[1, 2], [10], [11], [1, 12], [25]]):
+        part = spark.createDataFrame([(100 * k + d, day(d), 1, "view", 1.0, "{}") for d in days], memory_metrics.EVENTS)
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    stream = memory_metrics.growth(memory_metrics.read_events(spark, str(tmp_path / "in" / "f*"), files_per_batch=1))
+    done = memory_metrics.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    counts = {r.window_start.day: r.n_events for r in done.collect()}
+    assert counts == {1: 1, 2: 1, 10: 1, 11: 1, 12: 1}
+
+
+def test_a_registered_token_model_counts_and_cuts(spark):
+    from sievelake.functions import text as X
+
+    X.register_token_model("words", lambda t: F.size(X.words(t)).cast("bigint"), lambda t, n: F.array_join(F.slice(X.words(t), F.lit(1), n.cast("int")), " "))
+    row = spark.createDataFrame([("a bb  ccc d",)], "t string").select(X.count_tokens(F.col("t"), "words").alias("n"), X.truncate(F.col("t"), F.lit(2), "words").alias("c")).collect()[0]
+    assert (row.n, row.c) == (4, "a bb")
+    X.register_token_model("count only", X.count_chars4)
+    with pytest.raises(ValueError):
+        X.truncate(F.col("t"), F.lit(2), "count only")

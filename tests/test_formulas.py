@@ -111,3 +111,36 @@ def test_single_run_is_stable(spark):
     runs = spark.createDataFrame([("t", 0, "a b", "Response_1", 3)], "task_id string, run_id int, context string, output string, token_cost bigint")
     r = stability.stability(runs, ["task_id"]).collect()[0]
     assert (r.context_stability, r.output_stability, r.cost_cv) == (1.0, 1.0, 0.0)
+
+
+def test_search_equals_all_distances(spark):
+    import random
+
+    rng = random.Random(3)
+    pool = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(3000)]
+    pool += [(3000 + i, pool[i % 7][1]) for i in range(60)]  # ties
+    asked = [(i, [rng.gauss(0, 1) for _ in range(8)], i) for i in range(40)] + [(100 + i, pool[i][1], i) for i in range(7)]
+    frame = spark.createDataFrame(pool, "doc_id bigint, embedding array<double>").repartition(5)
+    got = {(r.q, r["rank"], r.doc_id) for r in retrieval.top_k(spark.createDataFrame(asked, "q bigint, query_vector array<double>, own bigint"), frame, 12, key="q", exclude="own").collect()}
+    want = set()
+    for q, v, own in asked:
+        ranked = sorted((round(sum((a - b) ** 2 for a, b in zip(v, e, strict=True)), 11), i) for i, e in pool if i != own)[:12]
+        want |= {(q, n, i) for n, (_, i) in enumerate(ranked, 1)}
+    assert got == want
+
+
+def test_gold_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(9)
+    words = ["the", "of", "and"] * 6 + [f"w{i}" for i in range(40)]
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(40)] + [(90, ""), (91, None)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))) for i in range(200)] + [(900, ""), (901, None)]
+    got = {(r.task_id, r.doc_id, r.overlap) for r in relevance.gold(spark.createDataFrame(asked, "task_id int, query string"), spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    want = set()
+    for t, q in asked:
+        for i, text in docs:
+            a, b = set((q or "").split()), set((text or "").split()[:20])
+            if a & b and (len(a & b) >= 3 or len(a & b) / len(a | b) > 0.15):
+                want.add((t, i, len(a & b)))
+    assert got == want

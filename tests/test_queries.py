@@ -43,7 +43,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_tested_otherwise():
-    assert set(QUERIES) - set(SQL) == {"q_diverse", "q_embed", "q_summaries", "q_synthetic_documents"}
+    assert set(QUERIES) - set(SQL) == {"q_diverse", "q_embed", "q_summaries", "q_synthetic_documents", "q_text_search", "q_approximate", "q_sliding"}
     assert set(SQL) <= set(QUERIES)
 
 
@@ -63,8 +63,8 @@ def test_diverse_matches_a_plain_greedy_choice(spark):
         taken = []
         while len(taken) < 5 and rows:
             def value(r):
-                own = set(words(docs[r[1]])[:20])
-                likes = [len(own & t) / len(own | t) if own | t else 0.0 for t in (set(words(docs[x[1]])[:20]) for x in taken)]
+                own = set(words(docs[r[1]]))
+                likes = [len(own & t) / len(own | t) if own | t else 0.0 for t in (set(words(docs[x[1]])) for x in taken)]
                 return round(0.7 / (1 + r[2]) - 0.3 * max([0.0, *likes]), 9)
 
             best = max(rows, key=lambda r: (value(r), -r[0]))
