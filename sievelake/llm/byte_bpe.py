@@ -189,9 +189,15 @@ def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its ids and whether they decode to its text."""
+    """Pipeline stage: every document with its ids (token_ids), their number (n_tokens) and whether they decode to its text
+    (round_trip). Columns of ``docs`` with these names are replaced; all others stay."""
     ranks, pattern = vocabulary()
-    coded = round_trip(docs, ranks, pattern, "text", "token_ids", "decoded_bytes")
-    return coded.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("bigint")).withColumn(
-        "round_trip", F.col("decoded_bytes") == F.encode(text_or_empty("text"), "utf-8")
-    ).drop("decoded_bytes")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), text_or_empty("text").alias("_text"))
+    coded = round_trip(whole, ranks, pattern, "_text", "token_ids", "_decoded")
+    kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c.lower() not in ("token_ids", "n_tokens", "round_trip")]
+    return coded.select(
+        *kept,
+        "token_ids",
+        (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
+        (F.col("_decoded") == F.encode("_text", "utf-8")).alias("round_trip"),
+    )

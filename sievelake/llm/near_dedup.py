@@ -14,9 +14,10 @@ same pairs; the sample decides what is compared, not what is found. Nodes meet i
 and places of the key rule out most pairs.
 
 A bucket of up to ``SMALL`` nodes offers all its pairs between different components. A larger one first offers each
-node's neighbours in order of size. Once these are verified and connected, it offers pairs twice as far apart, but only
-between nodes that are still in different components, and so on, until every pair of every bucket is verified, ruled
-out or connected by verified links. A large group of near copies so costs a few pairs per member and bucket.
+node's neighbours in order of size. Once these are verified and connected, the nodes that may have partners further away
+meet again and offer pairs ``WIDER`` times as far apart, if still in different components, and so on, until every pair
+of every bucket is verified, ruled out or connected by verified links. A large group of near copies so costs a few pairs
+per member and bucket.
 
 A candidate pair is ruled out without a look at the texts where a small bitmap of each set (the parity of the shingles
 that fall on each bit) shows more differences than pairs that are alike can have; else the whole sets are intersected.
@@ -45,6 +46,8 @@ SIMILARITY = 0.8
 SMALL = 8
 #: Neighbours on either side that a larger bucket offers first.
 STEPS = 2
+#: By how much further apart pairs may be in each next round.
+WIDER = 4
 #: Pairs that all larger buckets together offer in one last round.
 AT_ONCE = 1_000_000
 #: Documents that say which shingles are frequent, in how many of them, and how many such shingles are shipped at most.
@@ -170,9 +173,9 @@ def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.n
         yield np.concatenate(heads), np.concatenate(tails)
 
 
-def bucket_pairs(keyed: DataFrame, low: int, high: int) -> DataFrame:
-    """(key, n, p, a, b) from (key, n, p, node, component): candidates with key null, of different components and more than
-    ``low``, up to ``high`` places apart in their bucket; and, b null, the nodes of buckets with more distant pairs."""
+def bucket_pairs(keyed: DataFrame, high: int) -> DataFrame:
+    """(key, n, p, a, b) from (key, n, p, node, component): candidates with key null, of different components and up to
+    ``high`` places apart in their bucket; and, b null, the nodes that may have partners further away."""
 
     def emit(keys, sizes, places, nodes, groups):
         names = ["key", "n", "p", "a", "b"]
@@ -182,15 +185,20 @@ def bucket_pairs(keyed: DataFrame, low: int, high: int) -> DataFrame:
             none = pa.nulls(pairs.shape[1], pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[0]), pa.array(pairs[1])], names=names)
 
-        for a, b in offered(keys, sizes, places, groups, range(low + 1, high + 1)):
+        for a, b in offered(keys, sizes, places, groups, range(1, high + 1)):
             yield batch(a, b)
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         of = np.diff(np.concatenate((starts, [len(keys)])))
-        late = np.flatnonzero(np.repeat(of, of) > max(high, SMALL))
-        if low == 0:  # small buckets are done at once
-            small = np.flatnonzero(np.repeat(of, of) <= SMALL)
-            for a, b in offered(keys[small], sizes[small], places[small], groups[small], range(high + 1, SMALL)):
-                yield batch(small[a], small[b])
+        size = np.repeat(of, of)
+        # nodes that may have a partner further away: sizes differ by a fifth at most, and less if the key comes late
+        bucket, place = np.repeat(np.arange(len(of)) << 32, of), np.arange(len(keys))
+        most = np.minimum(sizes / SIMILARITY, (1 + SIMILARITY) / SIMILARITY * (sizes - places) - sizes) + 1e-6
+        last = np.searchsorted(bucket + sizes, bucket + most.astype(np.int64), "right") - 1
+        first = np.searchsorted(bucket + sizes, bucket + np.ceil(SIMILARITY * sizes - 1e-6).astype(np.int64))
+        late = np.flatnonzero((size > max(high, SMALL)) & ((last - place > high) | (place - first > high)))
+        small = np.flatnonzero(size <= SMALL)  # these are done at once
+        for a, b in offered(keys[small], sizes[small], places[small], groups[small], range(high + 1, SMALL)):
+            yield batch(small[a], small[b])
         kept = [pa.array(x[late]) for x in (keys, sizes, places, nodes)]
         yield pa.RecordBatch.from_arrays([*kept, pa.nulls(len(late), pa.int64())], names=names)
 
@@ -286,16 +294,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = components(alike)
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("p", "key")).select("key", "n", F.col("p").cast("long").alias("p"), "node")
     keyed = with_component(keyed, groups)
-    low, high = 0, STEPS
+    high = STEPS
     while True:
-        found = written(bucket_pairs(keyed, low, high), "near-buckets")
+        found = written(bucket_pairs(keyed, high), "near-buckets")
         pairs = written(found.where("key is null").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
             seen = seen.union(pairs)
             new = verified(pairs, rows, texts)
             if not new.isEmpty():
-                alike = alike.union(new)
-                groups = components(alike)
+                # what is connected already counts as one edge per node
+                groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
         late = with_component(found.where("key is not null").select("key", "n", "p", F.col("a").alias("node")), groups)
         mixed = late.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
         keyed = written(late.join(mixed.select("key"), "key"), "near-open")
@@ -303,7 +311,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         left = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
         if left.c is None:
             break
-        low, high = high, left.c if left.pairs <= AT_ONCE else 2 * high
+        high = left.c if left.pairs <= AT_ONCE else WIDER * high
     members = rows.select("_id", "_k", "_k2", "row").join(groups.withColumnRenamed("node", "row"), "row")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_k").alias("k"), F.col("_k2").alias("k2"))
     keep = members.groupBy("component").agg(F.min(order).alias("keep"))

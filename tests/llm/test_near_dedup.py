@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sievelake.llm import near_dedup as N
 
 
@@ -53,8 +55,10 @@ def test_same_words_in_other_order_hide_no_copies(spark):
     assert found(spark, rows) == {2: 2, 3: 2}
 
 
-def test_one_line_in_all_documents_and_templates(spark):
-    """Large buckets: a common passage, of documents some of which are alike."""
+@pytest.mark.parametrize("at_once", [1_000_000, 0])
+def test_one_line_in_all_documents_and_templates(spark, monkeypatch, at_once):
+    """Large buckets: a common passage, of documents some of which are alike; in few rounds or many."""
+    monkeypatch.setattr(N, "AT_ONCE", at_once)
     rng = random.Random(3)
     line = text(rng, 60)
     rows = [(i, " ".join(line + text(rng, rng.randint(5, 40)))) for i in range(120)]
@@ -66,3 +70,14 @@ def test_one_line_in_all_documents_and_templates(spark):
         rows.append((i, " ".join(words)))
     rows += [(400 + i, t.upper() + " ") for i, t in rows[:5]]
     assert found(spark, rows) == brute(rows)
+
+
+def test_repeated_ids_nulls_and_other_columns(spark):
+    rng = random.Random(5)
+    a, b = text(rng, 100), text(rng, 90)
+    near = [*a[:-1], "end"]
+    rows = [(1, a, "x"), (1, b, "y"), (2, near, "z"), (None, near, "n"), (3, b + ["more"], "m"), (4, None, "e"), (5, [], "f"), (5, [], "g")]
+    docs = spark.createDataFrame([(i, t if t is None else " ".join(t), c, "own") for i, t, c in rows], "doc_id bigint, text string, lang string, _gone string")
+    out = N.near_dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.lang for r in out.collect()) == ["e", "f", "g", "x", "y"]

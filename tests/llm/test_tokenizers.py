@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import struct
 
 import public_tokenizers as P
@@ -82,3 +83,40 @@ def test_a_full_memo_does_not_change_results(monkeypatch):
     assert [codec.decode(codec.encode([t]))[0] for t in TEXTS] == [t.encode() for t in TEXTS]
     own = token_count.Counter(bounded_bytes(P.path("byte_bpe_50k.json")), P.PATTERN)
     assert own.count("one two three four five one two three") == 8
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (3, "repeated id"), (None, "no id")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, n_tokens string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), rows
+
+
+def test_op5_query_equals_the_library(spark, documents, reference):
+    sf_dir, rows = documents
+    want = set()
+    for doc, text in rows:
+        ids = reference.encode_ordinary(text or "")
+        want.add((doc, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    got = byte_bpe.op5_query(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert len(got) == len(rows) and set(map(tuple, got)) == want
+
+
+def test_op8_query_equals_the_library(spark, documents):
+    sf_dir, rows = documents
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = set()
+    for doc, text in rows:
+        n = len(own.encode(text or "", add_special_tokens=False).ids)
+        want.add((doc, len((text or "").encode()), n, n > 512))
+    got = token_count.op8_query(spark, sf_dir).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()
+    assert len(got) == len(rows) and set(map(tuple, got)) == want and len({r.over_limit for r in got}) == 2
+
+
+def test_stage_keeps_other_columns(spark, documents):
+    docs = spark.read.parquet(f"{documents[0]}/documents.parquet").selectExpr("*", "1 AS _decoded", "2 AS decoded_bytes")
+    out = byte_bpe.stage(spark, docs, "")
+    assert out.columns == ["doc_id", "text", "_decoded", "decoded_bytes", "token_ids", "n_tokens", "round_trip"]
+    rows = out.collect()
+    assert len(rows) == len(documents[1]) and all(r.round_trip and 4 * r.n_tokens == len(r.token_ids) and r.decoded_bytes == 2 for r in rows)

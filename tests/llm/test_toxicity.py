@@ -79,3 +79,17 @@ def test_a_full_memo_does_not_change_scores(monkeypatch):
     whole = model.score(texts)
     monkeypatch.setattr(T, "MEMO", 1)
     assert [model.score([t])[0] for t in texts] == whole
+
+
+def test_op7_query_on_a_whole_table(spark):
+    """Held-out rows by their remainder, predictions by the threshold, and how many of them are right."""
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    rows = T.op7_query(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
+    assert sum(p == t for p, t in held) > 0.9 * len(held) and len(held) > 50
+    assert sum(p and not t for p, t in held) <= 0.02 * len(held)
