@@ -25,6 +25,8 @@ from .common import arrow_map, bounded_bytes, text_or_empty, vocabulary_path
 
 #: Pre-tokens whose ids a worker remembers; the memo is emptied when full, results don't depend on it.
 MEMO = 200_000
+#: Characters of a pre-token that is remembered at most.
+MEMO_CHARS = 64
 #: Bytes of text that are split into pre-tokens at once; they take some twenty times as much as Python objects.
 CHUNK = 1 << 20
 
@@ -112,7 +114,11 @@ class Codec:
             part = fresh[at : at + 20_000]
             for token, ids in zip(part, self.encode_batch([self.mapped(t) for t in part]), strict=True):
                 memo[token] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join([memo[token] for token in tokens]) for tokens in split]
+        out = [b"".join([memo[token] for token in tokens]) for tokens in split]
+        for token in fresh:
+            if len(token) > MEMO_CHARS:
+                del memo[token]
+        return out
 
     def decode(self, ids: list[bytes | None]) -> list[bytes]:
         pieces = self.pieces

@@ -94,15 +94,20 @@ def fold(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % F.lit(n)
 
 
-def spread_sample(rows: DataFrame, id_col: str, most: int) -> list[Row]:
-    """At most ``most`` rows, chosen by a hash of the id and in an order given by it, on the driver.
+#: Bytes of text that a sample on the driver has, about, at most.
+SAMPLE_BYTES = 64 << 20
 
-    The share that is taken follows from the count, some less than ``most`` rows, so the limit, which
+
+def spread_sample(rows: DataFrame, id_col: str, most: int, text_col: str = "text") -> list[Row]:
+    """At most ``most`` rows and about ``SAMPLE_BYTES`` of text, chosen by a hash of the id and in an order given by it,
+    on the driver.
+
+    The share that is taken follows from the counts, some less than ``most`` rows, so the limit, which
     keeps the bound, hardly ever cuts.
     """
-    n = rows.count()
-    if n > most:
-        part = int(0.9 * most / n * 2**20)
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    if n > most or size > SAMPLE_BYTES:
+        part = int(min(0.9 * most / n, SAMPLE_BYTES / max(size, 1)) * 2**20)
         rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string")), F.lit(2**20)) < part)
     got = rows.limit(most).collect()
     return sorted(got, key=lambda r: (zlib.crc32(f"order{r[id_col]}".encode()), str(r)))

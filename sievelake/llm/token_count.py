@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_bpe import byte_characters
+from .byte_bpe import MEMO_CHARS, byte_characters
 from .common import arrow_map, bounded_bytes, text_or_empty, vocabulary_path
 
 #: Pre-tokens whose counts a worker remembers; the memo is emptied when full, results don't depend on it.
@@ -84,7 +84,9 @@ class Counter:
             if n is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                n = memo[token] = self.piece(token)
+                n = self.piece(token)
+                if len(token) <= MEMO_CHARS:
+                    memo[token] = n
             total += n
         return total
 

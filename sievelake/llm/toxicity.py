@@ -7,8 +7,9 @@ word or left out of it lower the kernel but don't void it. A word with less than
 landmark's letters counts as kernel zero with it, so most words cost a bit test.
 
 Landmarks are the words of the training texts that tell the labels apart best. A sentence's kernel
-value with a landmark is the sum over its words; the Nyström map (inverse square root of the
-landmarks' kernel matrix) turns the values into features for a linear SVM (squared hinge loss,
+value with a landmark is the sum over its words, those below ``FLOOR`` left out: that much any two words have in
+common by chance. The Nyström map (inverse square root of the landmarks' whole kernel matrix, scaled to ones on
+its diagonal, without such a floor) turns the values into features for a linear SVM (squared hinge loss,
 Newton's method). Training is on sentences: each one of a clean text is negative, and of a toxic
 text the ``WITNESSES`` that score highest are positive, chosen anew in each round, since a label says
 only that some sentences are toxic. A logistic curve over a text's ``TOP`` highest margins, fitted on
@@ -50,6 +51,8 @@ ROUNDS = 4
 THRESHOLD = 0.7
 #: Words whose kernel values a worker remembers; the memo is emptied when full, results don't depend on it.
 MEMO = 1_500_000
+#: Characters of a word that is remembered at most.
+MEMO_CHARS = 64
 
 _spaced = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
 _edge = re.compile(r"^[\W_]+|[\W_]+$")
@@ -104,6 +107,14 @@ class Landmarks:
             own = codes(words, 0)
             self.own = np.array([kernel(own[i : i + 1], self.codes[i : i + 1])[0] for i in range(len(words))])
 
+    def gram(self) -> np.ndarray:
+        """The kernel of each landmark with each, scaled to ones on the diagonal."""
+        own = codes(self.words, 0)
+        rows = np.array([kernel(np.repeat(own[i : i + 1], len(own), axis=0), self.codes) for i in range(len(own))], float)
+        scale = 1 / np.sqrt(np.diag(rows))
+        square = rows * scale[:, None] * scale[None, :]
+        return (square + square.T) / 2
+
     def similarity(self, words: list[str]) -> np.ndarray:
         """Kernel of every word with every landmark, in shares of the landmark's own; zero below FLOOR."""
         out = np.zeros((len(words), len(self.words)), np.float32)
@@ -176,8 +187,13 @@ class Model:
         words = [words_of(t) for t in texts]
         if len(self.memo) > MEMO:
             self.forget()
-        self.look_up({w for of in words for w in of})
-        return [self.of_words(w) for w in words]
+        every = {w for of in words for w in of}
+        self.look_up(every)
+        out = [self.of_words(w) for w in words]
+        for w in every:
+            if len(w) > MEMO_CHARS:
+                del self.memo[w]
+        return out
 
     def of_words(self, words: list[str]) -> np.ndarray:
         known = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
@@ -255,10 +271,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
     if not len(rows) or toxic.all() or not toxic.any():
         return Model(shift=float(toxic.mean()) if len(rows) else 0.0)
     model = Model(choose_landmarks(texts, toxic))
-    square = model.landmarks.similarity(model.words).astype(float)
-    square = (square + square.T) / 2
-    eigen, vectors = np.linalg.eigh(square)
-    nystroem = vectors @ np.diag(1 / np.sqrt(np.maximum(eigen, 5e-2))) @ vectors.T
+    eigen, vectors = np.linalg.eigh(model.landmarks.gram())
+    nystroem = vectors @ np.diag(1 / np.sqrt(np.maximum(eigen, 1e-3))) @ vectors.T  # equal landmarks have eigenvalue 0
     values = model.values(texts)
     features = [v @ nystroem for v in values]
     empty = np.zeros((1, len(model.words)))

@@ -69,3 +69,15 @@ def test_dedup_keeps_columns_and_largest_id(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = E.op6_query(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_equals_sql_on_repeated_and_null_ids(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a"), (1, "a"), (2, "a"), (2, "a"), (None, "a"), (None, "n"), (None, "n"), (3, None), (4, ""), (4, "b"), (5, " a"), (6, "é"), (7, "e\u0301")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = "doc_id, keep_id, group_size, kept, text_sha256"
+    want = sorted(map(str, duckdb.sql(f"SELECT {names} FROM ({E.OP6_SQL})").fetchall()))
+    got = sorted(str(tuple(r)) for r in E.op6_query(spark, str(tmp_path)).select(*names.split(", ")).collect())
+    assert got == want and len(got) == len(rows)

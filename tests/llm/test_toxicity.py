@@ -93,3 +93,10 @@ def test_op7_query_on_a_whole_table(spark):
     held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
     assert sum(p == t for p, t in held) > 0.9 * len(held) and len(held) > 50
     assert sum(p and not t for p, t in held) <= 0.02 * len(held)
+
+
+def test_the_landmark_matrix_is_a_kernel_matrix():
+    words = ["idiot", "idiots", "idiotic", "moron", "stupid", "stupidity", "x" * 30]
+    square = T.Landmarks(words).gram()
+    assert np.allclose(np.diag(square), 1) and np.linalg.eigvalsh(square).min() > -1e-6
+    assert square[0, 1] > square[0, 3] >= 0 and square[0, 1] > 0.5
