@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed_random as R
 from ..functions import text as X
+from ..functions.sql import register_functions
 from ..operators import memory, retrieval
 from ..operators import stability as St
 from ..operators import statistics as S
@@ -150,7 +151,19 @@ def distinct_keys(spark, d):
     return table(spark, d, "documents").select("lang").distinct().where("lang is not null").orderBy("lang")
 
 
+def sql_functions(spark, d):
+    """The scalars called from SQL text."""
+    register_functions(spark)
+    table(spark, d, "documents").createOrReplaceTempView("sievelake_documents")
+    return spark.sql(
+        "SELECT doc_id, token_count(text) AS tokens, piece_count(text) AS pieces, md5(cut_tokens(text, 50)) AS cut_md5, "
+        "size(word_set(text)) AS n_words, round(word_jaccard(word_set(text), word_set(lang || ' the and of')), 9) AS jaccard, "
+        "round(keyed_uniform(concat('sql|', doc_id)), 9) AS u FROM sievelake_documents"
+    )
+
+
 QUERIES = {
+    "q_sql_functions": sql_functions,
     "q_token_models": token_models,
     "q_truncate": truncated,
     "q_text_scalars": text_scalars,
@@ -228,6 +241,10 @@ _MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in STABLE)
 _PIECES = "regexp_extract_all(text, '\\p{L}+|\\p{N}{1,3}|[^\\s\\p{L}\\p{N}]+')"
 
 SQL = {
+    "q_sql_functions": f"""WITH s AS (SELECT *, {_SETS.format("lower(text)")} AS a, {_SETS.format("lower(lang || ' the and of')")} AS b FROM documents)
+        SELECT doc_id, ceil(length(text) / 4)::BIGINT AS tokens, len({_PIECES}) AS pieces, md5(text[1:200]) AS cut_md5, len(a)::INT AS n_words,
+               round(coalesce(len(list_intersect(a, b)) / nullif(len(a) + len(b) - len(list_intersect(a, b)), 0), 0), 9) AS jaccard,
+               round({_uniform("'sql'", "doc_id::VARCHAR")}, 9) AS u FROM s""",
     "q_token_models": f"SELECT doc_id, ceil(length(text) / 4)::BIGINT AS chars4, len({_PIECES}) AS pieces FROM documents",
     "q_truncate": f"""SELECT doc_id, md5(text[1:400]) AS chars4_md5,
         md5(CASE WHEN len({_PIECES}) <= 100 THEN text ELSE array_to_string({_PIECES}[1:100], ' ') END) AS pieces_md5 FROM documents""",

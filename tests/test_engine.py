@@ -211,3 +211,12 @@ def test_a_registered_token_model_counts_and_cuts(spark):
     X.register_token_model("count only", X.count_chars4)
     with pytest.raises(ValueError):
         X.truncate(F.col("t"), F.lit(2), "count only")
+
+
+def test_functions_of_the_user(spark):
+    from sievelake.functions import sql
+
+    sql.register_function(spark, "shout", lambda s: s.str.upper() + "!", "string")
+    names = sql.register_functions(spark)
+    row = spark.sql("SELECT shout('ab') AS a, squared_distance(array(1F, 2F), array(0F, 0F)) AS d, word_overlap(word_set('a B'), word_set('b c')) AS n").collect()[0]
+    assert tuple(row) == ("AB!", 5.0, 1) and "token_count" in names
