@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, bounded_bytes, text_or_empty, vocabulary_path
+from .common import arrow_map, bounded_bytes, held, text_or_empty, vocabulary_path
 
 #: Pre-tokens whose ids a worker remembers; the memo is emptied when full, results don't depend on it.
 MEMO = 200_000
@@ -125,15 +125,8 @@ class Codec:
         return [b"".join([pieces[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in ids]
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def codec(data: bytes, pattern: str) -> Codec:
-    key = (hash(data), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(data, pattern)
-    return _codecs[key]
+    return held(("codec", hash(data), pattern), lambda: Codec(data, pattern))
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

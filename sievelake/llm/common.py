@@ -182,6 +182,17 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return simple[kind]
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks under a key; only one such thing, so that operators don't add up in memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def vocabulary_path(name: str) -> str:
     """Where the public vocabulary file lies on this machine (never copied into the repository)."""
     import public_tokenizers

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, held
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 10
@@ -232,9 +232,6 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-_matchers: dict[tuple, Matcher] = {}
-
-
 def matched(rows: DataFrame, benchmark: DataFrame, text_col: str, give: Callable, schema: T.StructType) -> DataFrame:
     """One pass over ``rows``: ``give`` makes a batch from one of them and the matches of each of its texts."""
     context = rows.sparkSession.sparkContext
@@ -244,10 +241,7 @@ def matched(rows: DataFrame, benchmark: DataFrame, text_col: str, give: Callable
         return rows.mapInArrow(lambda batches: (give(b, [[]] * b.num_rows) for b in batches), schema)
 
     def matcher(n: int) -> Matcher:
-        if (run_key, n) not in _matchers:
-            _matchers.clear()
-            _matchers[run_key, n] = Matcher(shipped[n].value)
-        return _matchers[run_key, n]
+        return held(("matcher", run_key, n), lambda: Matcher(shipped[n].value))
 
     def several(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [[[] for _ in range(part.num_rows)] for part in group]

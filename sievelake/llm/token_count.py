@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import MEMO_CHARS, byte_characters
-from .common import arrow_map, bounded_bytes, text_or_empty, vocabulary_path
+from .common import arrow_map, bounded_bytes, held, text_or_empty, vocabulary_path
 
 #: Pre-tokens whose counts a worker remembers; the memo is emptied when full, results don't depend on it.
 MEMO = 1_000_000
@@ -97,15 +97,8 @@ class Counter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
-_counters: dict[tuple, Counter] = {}
-
-
 def counter(data: bytes, pattern: str) -> Counter:
-    key = (hash(data), pattern)
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = Counter(data, pattern)
-    return _counters[key]
+    return held(("counter", hash(data), pattern), lambda: Counter(data, pattern))
 
 
 def count_tokens(
