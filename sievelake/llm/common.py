@@ -123,6 +123,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+#: Rows that Arrow hands to a worker at once, so that a batch of long texts stays small on either side.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of ``BATCH_ROWS`` rows in this session, unless it asks for a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the values of ``column`` in a slice take about ``most`` bytes."""
     array = batch.column(batch.schema.get_field_index(column))
@@ -149,6 +160,7 @@ def arrow_map(
     ``make`` runs once per task and returns a function from an Arrow array to one list or array per
     field; it sees ``most`` bytes at a time or one row. A clashing column of ``df`` is replaced.
     """
+    bounded_batches(df.sparkSession)
     df = without(df, *[f.name for f in fields])
     schema = T.StructType([*df.schema.fields, *fields])
     kinds = [to_arrow(f.dataType) for f in fields]

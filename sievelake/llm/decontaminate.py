@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, held
+from .common import bounded_batches, chunks, held
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 10
@@ -234,6 +234,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def matched(rows: DataFrame, benchmark: DataFrame, text_col: str, give: Callable, schema: T.StructType) -> DataFrame:
     """One pass over ``rows``: ``give`` makes a batch from one of them and the matches of each of its texts."""
+    bounded_batches(rows.sparkSession)
     context = rows.sparkSession.sparkContext
     shipped = [context.broadcast(block) for block in blocks(benchmark)]
     run_key = uuid.uuid4().hex

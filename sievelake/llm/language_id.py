@@ -17,6 +17,7 @@ alphabetical order. Other columns pass through, and columns named like the outpu
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fold, spread_sample
+from .common import arrow_map, fold, held, spread_sample
 
 #: Labelled rows that the classifier is fitted on at most, spread evenly by a hash of the id.
 SAMPLE_ROWS = 4000
@@ -194,6 +195,7 @@ def fit(docs: DataFrame, learn: Column, most: int = SAMPLE_ROWS) -> Model:
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and accepted."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    run_key = uuid.uuid4().hex
     fields = [
         T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()),
@@ -201,7 +203,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     ]
 
     def make():
-        own = shipped.value
+        own = held(("language", run_key), lambda: shipped.value)
         return lambda texts: list(own.predict([t or "" for t in texts.to_pylist()]))
 
     return arrow_map(docs, text_col, fields, make)

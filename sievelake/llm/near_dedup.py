@@ -29,6 +29,7 @@ are unique or null (a null id comes last); rows equal in both stay or go togethe
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, written
+from .common import bounded_batches, chunks, discard, held, written
 from .golay_simhash import components, fingerprint
 from .golay_simhash import links as simhash_links
 
@@ -51,7 +52,7 @@ WIDER = 4
 #: Pairs that all larger buckets together offer in one last round.
 AT_ONCE = 1_000_000
 #: Documents that say which shingles are frequent, in how many of them, and how many such shingles are shipped at most.
-SAMPLE, FREQUENT, SHIPPED = 20_000, 5, 50_000
+SAMPLE, FREQUENT, SHIPPED = 20_000, 2, 1_000_000
 #: Bits of a set's bitmap at most.
 MOST_BITS = 4096
 #: Node numbers that are broadcast at most to fetch their sets (8 bytes each).
@@ -115,8 +116,8 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(all_.view(np.int64))], names=["h"])
 
     counts = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
-    top = counts.orderBy(F.desc("c"), "h").limit(SHIPPED).collect()
-    return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
+    top = counts.orderBy(F.desc("c"), "h").limit(SHIPPED).select("h").toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64))
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -127,10 +128,11 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 def described(texts: DataFrame) -> DataFrame:
     """What is needed of each text: (_id, _k, _k2, digest of the set, n, keys, bits, fp)."""
     shipped = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+    run_key = uuid.uuid4().hex
     names = ["_id", "_k", "_k2", "_set", "n", "keys", "bits", "fp"]
 
     def run(batches):
-        frequent = shipped.value
+        frequent = held(("frequent", run_key), lambda: shipped.value)
         for batch in batches:
             for part in chunks(batch, "_text"):
                 all_ = part.column(3).to_pylist()
@@ -275,6 +277,7 @@ def doc_key(id_col: str, text_col: str) -> list[Column]:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _k, _k2, keep) of every document that has a near copy; keep is (id, _k, _k2) of the one that stays."""
+    bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), *doc_key(id_col, text_col), text.alias("_text"))
     texts = texts.where(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))

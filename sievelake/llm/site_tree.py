@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, written
+from .common import bounded_batches, chunks, discard, written
 
 #: Nodes below this share of the importance of a host's main nodes are removed.
 LEAST_IMPORTANCE = 0.4
@@ -361,6 +361,7 @@ def removed_nodes(tree: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, names: bool = True) -> DataFrame:
     """(page_id, url, text) of every page; without ``names`` the tree alone decides."""
+    bounded_batches(pages.sparkSession)
     rows = page_rows(pages)
     tree = written(site_features(rows), "site-tree")
     low = written(removed_nodes(tree), "removed-nodes")
