@@ -137,8 +137,9 @@ def same_label_gold(spark, d):
     return t.join(e, (t["label"] == e["doc_label"]) & (t["vec_id"] != e["doc_id"])).select("task_id", "doc_id")
 
 
-def quality(spark, d):
-    swept = retrieval.sweep(hits(spark, d), TOPK)
+def quality(spark, d, found=None):
+    """Retrieval quality of each task and k; ``found`` are the hits, if the caller needs them as well."""
+    swept = retrieval.sweep(hits(spark, d) if found is None else found, TOPK)
     grid = tasks(spark, d).select("task_id", F.explode(F.array(*map(F.lit, TOPK))).alias("topk"))
     out = relevance.evaluate(grid, swept, same_label_gold(spark, d), ["task_id", "topk"])
     kinds = tasks(spark, d).select("task_id", "task_type")
@@ -169,8 +170,9 @@ def text_search(spark, d):
 
 def similarity_points(spark, d):
     """Mean similarity against recall, one row per task and k."""
-    sim = retrieval.sweep(hits(spark, d), TOPK).groupBy("task_id", "topk").agg(retrieval.mean_similarity(F.col("dist")).alias("similarity"))
-    return quality(spark, d).join(sim, ["task_id", "topk"]).select("task_id", "task_type", "topk", r9("similarity"), r9("recall"))
+    found = hits(spark, d)
+    sim = retrieval.sweep(found, TOPK).groupBy("task_id", "topk").agg(retrieval.mean_similarity(F.col("dist")).alias("similarity"))
+    return quality(spark, d, found).join(sim, ["task_id", "topk"]).select("task_id", "task_type", "topk", r9("similarity"), r9("recall"))
 
 
 def retrieval_quality(spark, d):
@@ -201,8 +203,9 @@ def recall_centers(spark, d):
 
 
 def similarity_recall(spark, d):
-    sim = retrieval.sweep(hits(spark, d), TOPK).groupBy("task_id", "topk").agg(retrieval.mean_similarity(F.col("dist")).alias("similarity"))
-    both = quality(spark, d).join(sim, ["task_id", "topk"])
+    found = hits(spark, d)
+    sim = retrieval.sweep(found, TOPK).groupBy("task_id", "topk").agg(retrieval.mean_similarity(F.col("dist")).alias("similarity"))
+    both = quality(spark, d, found).join(sim, ["task_id", "topk"])
     return both.groupBy("topk").agg(F.round(F.corr("similarity", "recall"), 6).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
