@@ -23,8 +23,8 @@ Not everything that isn't the main text repeats: adverts and reader comments may
 each page. So elements and names that stand for menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments are removed, too (``names=False`` leaves all to the tree). A name never
 counts on ``html`` or ``body``, nor where it only says what a layout has (``no-sidebar``, ``with-header``),
-nor for the header of an article; and if nothing else is left or the main element is nowhere else, forms
-and named elements count as plain wrappers. Where an element that stands for the main content
+nor for the header of an article; and if nothing else is left, or they hold the main element and that half of the
+text, forms and named elements count as plain wrappers. Where an element that stands for the main content
 (``article`` or ``main``) holds at least half of the text that is left, only what stands in it is kept.
 
 What is left is the text: references decoded, white space within a block turned into one space, blocks
@@ -405,18 +405,24 @@ def with_own_nodes(rows: DataFrame, low: DataFrame) -> DataFrame:
     return keyed.join(own, "digest", "left").select("page_id", "url", "html", "low")
 
 
+def size(blocks: list[tuple[Element, str]]) -> int:
+    return sum(len(t) for _, t in blocks)
+
+
 def main_text(source: str, low: frozenset, names: bool = True) -> str:
     """Text of a page without the branches of low importance."""
     blocks = Page(source).blocks
     if names:
         clear = [(e, t) for e, t in blocks if e.noise == NEUTRAL]
-        if not clear or any(e.central and e.noise < NOISY for e, _ in blocks) and not any(e.central for e, _ in clear):
-            clear = [(e, t) for e, t in blocks if e.noise < NOISY]
+        wrapped = [(e, t) for e, t in blocks if e.noise < NOISY]
+        inside = [(e, t) for e, t in wrapped if e.central]
+        if not clear or inside and not any(e.central for e, _ in clear) and 2 * size(inside) >= size(wrapped):
+            clear = wrapped
         blocks = clear
     left = [(e, t) for e, t in blocks if e.node not in low]
     if names:
         main = [(e, t) for e, t in left or blocks if e.central]
-        if 2 * sum(len(t) for _, t in main) >= sum(len(t) for _, t in left or main):
+        if 2 * size(main) >= size(left or main):
             left = main or left
     return "\n".join(t for _, t in left)
 

@@ -100,6 +100,7 @@ PAGES = [
     ("<body class='single no-sidebar'><div class='layout-with-header'><p>text</p><div class=post-comments>c</div></div></body>", "text"),
     ("<div class='post has-comments'><article><p>a</p></article></div><div class=comments><article>c</article></div>", "a"),
     ("<article>teaser</article><div><p>the text is much longer than any teaser</p></div>", "teaser\nthe text is much longer than any teaser"),
+    ("<div class=sidebar><article>teaser</article></div><div><p>the text is in a plain element</p></div>", "the text is in a plain element"),
     ("<p class='x' class='ad'>first one counts</p>", "first one counts"),
     ("<p>a</p></ ><p>b</>c</p>", "a\nbc"),
 ]
