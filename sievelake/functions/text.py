@@ -60,7 +60,7 @@ def truncate(text: Column, budget: Column, model: str = "chars4") -> Column:
 
 def words(text: Column) -> Column:
     """Words between white space, punctuation kept."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_set(text: Column, lower: bool = True, first: int | None = None) -> Column:
