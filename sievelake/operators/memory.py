@@ -81,6 +81,21 @@ def for_tenant(docs: DataFrame, tenant: Column, own: str, masked: dict[str, Colu
     return seen
 
 
+def with_capabilities(docs: DataFrame, grants: DataFrame, agent: str, scope: str, masked: dict[str, Column]) -> DataFrame:
+    """What an agent may see: rows whose ``scope`` it was granted to read, masked unless it was granted to unmask them, too.
+
+    ``grants`` has agent, scope and capability ("read" or "unmask"); an agent without a grant sees nothing. Grants of one
+    agent are one row per scope after the aggregation, so a document is never repeated.
+    """
+    own = grants.where(F.col("agent") == agent).groupBy(F.col("scope").alias("_scope")).agg(
+        F.bool_or(F.col("capability") == "read").alias("_read"), F.bool_or(F.col("capability") == "unmask").alias("_unmask")
+    )
+    seen = docs.join(own.where("_read"), docs[scope] == F.col("_scope"))
+    for name, column in masked.items():
+        seen = seen.withColumn(name, F.when(F.col("_unmask"), F.col(name)).otherwise(column))
+    return seen.drop("_scope", "_read", "_unmask")
+
+
 def injection_flag(text: Column) -> Column:
     return text.rlike(INJECTION)
 

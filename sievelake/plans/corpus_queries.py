@@ -126,6 +126,11 @@ def stability_by_type(spark, d):
     return stability(spark, d).groupBy("task_type").agg(*[F.round(F.avg(c), 6).alias(c) for c in STABLE])
 
 
+def stability_points(spark, d):
+    """Context against output stability, with the cost's variation as the third dimension; a row per task."""
+    return stability(spark, d).select("task_id", "task_type", *[F.round(c, 6).alias(c) for c in ("context_stability", "output_stability", "cost_cv")])
+
+
 def stability_histogram(spark, d):
     return S.histogram(stability(spark, d), "context_stability", [])
 
@@ -178,6 +183,7 @@ QUERIES = {
     "q_stability": run_stability,
     "q_stability_means": stability_means,
     "q_stability_by_type": stability_by_type,
+    "q_stability_points": stability_points,
     "q_stability_histogram": stability_histogram,
     "q_cost_cloud": cost_cloud,
     "q_embed": embedded,
@@ -273,6 +279,8 @@ SQL = {
         round(output_stability, 6) AS output_stability, round(cost_mean, 6) AS cost_mean, round(cost_std, 6) AS cost_std, round(cost_cv, 6) AS cost_cv, cost_min, cost_max, cost_range FROM stability""",
     "q_stability_means": f"WITH {_RUNS_SQL} SELECT {_MEANS} FROM stability",
     "q_stability_by_type": f"WITH {_RUNS_SQL} SELECT task_type, {_MEANS} FROM stability GROUP BY 1",
+    "q_stability_points": f"""WITH {_RUNS_SQL} SELECT task_id, task_type, round(context_stability, 6) AS context_stability, round(output_stability, 6) AS output_stability,
+        round(cost_cv, 6) AS cost_cv FROM stability""",
     "q_stability_histogram": f"""WITH {_RUNS_SQL}, l AS (SELECT min(context_stability) AS lo, (max(context_stability) - min(context_stability)) / 20 AS w FROM stability)
         SELECT CASE WHEN w > 0 THEN least(floor((context_stability - lo) / w), 19) ELSE 0 END::INT AS bin, count(*) AS n FROM stability CROSS JOIN l GROUP BY 1""",
     "q_cost_cloud": f"""WITH {_RUNS_SQL} SELECT task_id, draw::INT AS draw, round(least(greatest(cost_mean + cost_std * {_gauss("'cloud'", "task_id", "draw::VARCHAR")}, cost_min), cost_max), 4) AS cost

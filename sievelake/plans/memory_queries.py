@@ -154,6 +154,16 @@ def tenant_view(spark, d):
     return seen.select("doc_id", "text", "lang")
 
 
+def capabilities(spark, d):
+    """The documents that agent "a" may read, by grants on sources; texts are masked where it may not see them."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    kinds = F.array(F.lit("read"), F.when(number % 3 == 0, F.lit("unmask")))
+    sources = docs.select("source").distinct().where(number % 2 == 0)
+    grants = sources.select(F.lit("a").alias("agent"), F.col("source").alias("scope"), F.explode(kinds).alias("capability"))
+    return memory.with_capabilities(docs, grants, "a", "source", {"text": F.sha2("text", 256)}).select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
 def injection(spark, d):
     return table(spark, d, "documents").select("lang", memory.injection_flag(F.col("text")).cast("int").alias("f")).groupBy("lang").agg(F.sum("f").alias("flagged"), F.count(F.lit(1)).alias("n"))
 
@@ -274,6 +284,7 @@ QUERIES = {
     "q_snapshot_diff": snapshot_diff,
     "q_branch_merge": branch_merge,
     "q_tenant_view": tenant_view,
+    "q_capabilities": capabilities,
     "q_injection": injection,
     "q_stale": stale_users,
     "q_compaction": compaction,
@@ -391,6 +402,8 @@ SQL = {
         m AS (SELECT CASE WHEN oc THEN o ELSE t END AS lang, NOT (CASE WHEN oc THEN o_in ELSE t_in END) AS deleted, oc AND tc AND apart AS conflict FROM c)
         SELECT lang, deleted, conflict, count(*) AS n FROM m WHERE conflict OR NOT deleted GROUP BY ALL""",
     "q_tenant_view": "SELECT doc_id, sha256(text) AS text, lang FROM documents WHERE source = 'src0'",
+    "q_capabilities": """WITH s AS (SELECT *, regexp_extract(source, '(\\d+)$', 1)::INT AS k FROM documents WHERE regexp_matches(source, '\\d$'))
+        SELECT doc_id, source, md5(CASE WHEN k % 3 = 0 THEN text ELSE sha256(text) END) AS text_md5 FROM s WHERE k % 2 = 0""",
     "q_injection": f"""SELECT lang, sum(regexp_matches(text, '{memory.INJECTION}')::INT)::BIGINT AS flagged, count(*) AS n FROM documents GROUP BY 1""",
     "q_stale": """WITH l AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1)
         SELECT user_id, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, last_seen < (SELECT max(ts) FROM events) - INTERVAL 2 DAYS AS stale FROM l""",
