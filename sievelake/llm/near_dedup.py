@@ -48,7 +48,7 @@ SMALL = 8
 #: Neighbours on either side that a larger bucket offers first.
 STEPS = 2
 #: By how much further apart pairs may be in each next round.
-WIDER = 4
+WIDER = 8
 #: Pairs that all larger buckets together offer in one last round.
 AT_ONCE = 1_000_000
 #: Documents that say which shingles are frequent, in how many of them, and how many such shingles are shipped at most.
@@ -154,8 +154,9 @@ def described(texts: DataFrame) -> DataFrame:
     )
 
 
-def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.ndarray, steps: range):
-    """Pairs so many steps apart in rows sorted by key that differ in ``apart`` and may be alike, as places, piece by piece."""
+def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.ndarray, ranks: np.ndarray, before: int, steps: range):
+    """Pairs so many steps apart in rows sorted by key that differ in ``apart``, had ranks more than ``before`` apart and may
+    be alike, as places, piece by piece."""
     heads, tails, held = [], [], 0
     room = sizes - places  # shingles from the key on: no more can be shared, if the key is the first that is
     for step in steps:
@@ -164,7 +165,7 @@ def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.n
             break
         to = at + step
         least = SIMILARITY / (1 + SIMILARITY) * (sizes[at] + sizes[to]) - 1e-6
-        ok = (np.minimum(room[at], room[to]) >= least) & (apart[at] != apart[to])
+        ok = (np.minimum(room[at], room[to]) >= least) & (apart[at] != apart[to]) & (ranks[to] - ranks[at] > before)
         heads.append(at[ok])
         tails.append(to[ok])
         held += int(ok.sum())
@@ -175,11 +176,12 @@ def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.n
         yield np.concatenate(heads), np.concatenate(tails)
 
 
-def bucket_pairs(keyed: DataFrame, high: int) -> DataFrame:
-    """(key, n, p, a, b) from (key, n, p, node, component): candidates with key null, of different components and up to
-    ``high`` places apart in their bucket; and, b null, the nodes that may have partners further away."""
+def bucket_pairs(keyed: DataFrame, high: int, before: int) -> DataFrame:
+    """(key, n, p, a, b) from (key, n, p, node, component, rank): candidates with key null, of different components, up to
+    ``high`` places apart in their bucket and more than ``before`` by the ranks they had in it the last time; and, with a
+    key, the nodes a that may have partners further away, and their ranks b."""
 
-    def emit(keys, sizes, places, nodes, groups):
+    def emit(keys, sizes, places, nodes, groups, ranks):
         names = ["key", "n", "p", "a", "b"]
 
         def batch(a, b):
@@ -187,7 +189,7 @@ def bucket_pairs(keyed: DataFrame, high: int) -> DataFrame:
             none = pa.nulls(pairs.shape[1], pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[0]), pa.array(pairs[1])], names=names)
 
-        for a, b in offered(keys, sizes, places, groups, range(1, high + 1)):
+        for a, b in offered(keys, sizes, places, groups, ranks, before, range(1, high + 1)):
             yield batch(a, b)
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         of = np.diff(np.concatenate((starts, [len(keys)])))
@@ -199,10 +201,10 @@ def bucket_pairs(keyed: DataFrame, high: int) -> DataFrame:
         first = np.searchsorted(bucket + sizes, bucket + np.ceil(SIMILARITY * sizes - 1e-6).astype(np.int64))
         late = np.flatnonzero((size > max(high, SMALL)) & ((last - place > high) | (place - first > high)))
         small = np.flatnonzero(size <= SMALL)  # these are done at once
-        for a, b in offered(keys[small], sizes[small], places[small], groups[small], range(high + 1, SMALL)):
+        for a, b in offered(keys[small], sizes[small], places[small], groups[small], ranks[small], before, range(high + 1, SMALL)):
             yield batch(small[a], small[b])
-        kept = [pa.array(x[late]) for x in (keys, sizes, places, nodes)]
-        yield pa.RecordBatch.from_arrays([*kept, pa.nulls(len(late), pa.int64())], names=names)
+        kept = [x[late] for x in (keys, sizes, places, nodes, place - np.repeat(starts, of))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=names)
 
     def run(batches):
         held, rows = [], 0
@@ -220,7 +222,7 @@ def bucket_pairs(keyed: DataFrame, high: int) -> DataFrame:
         if held:
             yield from emit(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
-    sorted_ = keyed.select("key", "n", "p", "node", "component").repartition("key").sortWithinPartitions("key", "n", "node")
+    sorted_ = keyed.select("key", "n", "p", "node", "component", "rank").repartition("key").sortWithinPartitions("key", "n", "node")
     return sorted_.mapInArrow(run, "key bigint, n bigint, p bigint, a bigint, b bigint")
 
 
@@ -296,10 +298,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alike = alike.union(verified(seen, rows, texts))
     groups = components(alike)
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("p", "key")).select("key", "n", F.col("p").cast("long").alias("p"), "node")
-    keyed = with_component(keyed, groups)
-    high = STEPS
+    keyed = with_component(keyed, groups).withColumn("rank", F.lit(0).cast("long"))
+    high, before = STEPS, -1
     while True:
-        found = written(bucket_pairs(keyed, high), "near-buckets")
+        found = written(bucket_pairs(keyed, high, before), "near-buckets")
         pairs = written(found.where("key is null").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
             seen = seen.union(pairs)
@@ -307,14 +309,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if not new.isEmpty():
                 # what is connected already counts as one edge per node
                 groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
-        late = with_component(found.where("key is not null").select("key", "n", "p", F.col("a").alias("node")), groups)
+        late = with_component(found.where("key is not null").select("key", "n", "p", F.col("a").alias("node"), F.col("b").alias("rank")), groups)
         mixed = late.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
         keyed = written(late.join(mixed.select("key"), "key"), "near-open")
         discard(found)
         left = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
         if left.c is None:
             break
-        high = left.c if left.pairs <= AT_ONCE else WIDER * high
+        high, before = left.c if left.pairs <= AT_ONCE else WIDER * high, high
     members = rows.select("_id", "_k", "_k2", "row").join(groups.withColumnRenamed("node", "row"), "row")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_k").alias("k"), F.col("_k2").alias("k2"))
     keep = members.groupBy("component").agg(F.min(order).alias("keep"))
