@@ -11,7 +11,7 @@ not connected goes through a prefix filter, which loses no pair: with the shingl
 sets that are alike share one among the first n - ceil(0.8 n) + 1 of each. The order is that of the hashes, with
 shingles that are frequent in a sample put last, so that a common line is hardly ever a key. Any order finds the
 same pairs; the sample decides what is compared, not what is found. Nodes meet in buckets by key, where sizes
-and places of the key rule out most pairs.
+and places of the key rule out most pairs, and in large buckets a short bitmap of each set, too (see below).
 
 A bucket of up to ``SMALL`` nodes offers all its pairs between different components. A larger one first offers each
 node's neighbours in order of size. Once these are verified and connected, the nodes that may have partners further away
@@ -55,6 +55,8 @@ AT_ONCE = 1_000_000
 SAMPLE, FREQUENT, SHIPPED = 20_000, 2, 1_000_000
 #: Bits of a set's bitmap at most.
 MOST_BITS = 4096
+#: Bits of the bitmap that goes along with the nodes of large buckets.
+SHORT_BITS = 512
 #: Node numbers that are broadcast at most to fetch their sets (8 bytes each).
 BROADCAST_NODES = 500_000
 #: Pairs that a task holds before it passes them on.
@@ -86,9 +88,9 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return found[:take]
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    """Per bit, whether an odd number of hashes falls on it; twice as many bits as hashes or more, up to a bound."""
-    size = min(MOST_BITS, max(64, 1 << (2 * len(found) - 1).bit_length()))
+def bitmap(found: np.ndarray, size: int | None = None) -> bytes:
+    """Per bit, whether an odd number of hashes falls on it; twice as many bits as hashes or more, up to a bound, or ``size``."""
+    size = size or min(MOST_BITS, max(64, 1 << (2 * len(found) - 1).bit_length()))
     odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -126,10 +128,10 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """What is needed of each text: (_id, _k, _k2, digest of the set, n, keys, bits, fp)."""
+    """What is needed of each text: (_id, _k, _k2, digest of the set, n, keys, bits, short, fp)."""
     shipped = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
     run_key = uuid.uuid4().hex
-    names = ["_id", "_k", "_k2", "_set", "n", "keys", "bits", "fp"]
+    names = ["_id", "_k", "_k2", "_set", "n", "keys", "bits", "short", "fp"]
 
     def run(batches):
         frequent = held(("frequent", run_key), lambda: shipped.value)
@@ -144,19 +146,20 @@ def described(texts: DataFrame) -> DataFrame:
                         pa.array([len(h) for h in found], pa.int64()),
                         lists([prefix(h, frequent) for h in found]),
                         pa.array([bitmap(h) for h in found], pa.binary()),
+                        pa.array([bitmap(h, SHORT_BITS) for h in found], pa.binary()),
                         pa.array(np.array([fingerprint(t, 1) for t in all_], np.uint64).view(np.int64)),
                     ],
                     names=names,
                 )
 
     return texts.mapInArrow(
-        run, "_id bigint, _k bigint, _k2 bigint, _set binary, n bigint, keys array<bigint>, bits binary, fp bigint"
+        run, "_id bigint, _k bigint, _k2 bigint, _set binary, n bigint, keys array<bigint>, bits binary, short binary, fp bigint"
     )
 
 
-def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.ndarray, ranks: np.ndarray, before: int, steps: range):
+def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.ndarray, ranks: np.ndarray, short: np.ndarray, before: int, steps: range):
     """Pairs so many steps apart in rows sorted by key that differ in ``apart``, had ranks more than ``before`` apart and may
-    be alike, as places, piece by piece."""
+    be alike by their sizes, by the places of the key and by the bitmaps ``short``, as places, piece by piece."""
     heads, tails, held = [], [], 0
     room = sizes - places  # shingles from the key on: no more can be shared, if the key is the first that is
     for step in steps:
@@ -166,9 +169,14 @@ def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.n
         to = at + step
         least = SIMILARITY / (1 + SIMILARITY) * (sizes[at] + sizes[to]) - 1e-6
         ok = (np.minimum(room[at], room[to]) >= least) & (apart[at] != apart[to]) & (ranks[to] - ranks[at] > before)
-        heads.append(at[ok])
-        tails.append(to[ok])
-        held += int(ok.sum())
+        at, to = at[ok], to[ok]
+        if short.shape[1]:
+            most = (1 - SIMILARITY) / (1 + SIMILARITY) * (sizes[at] + sizes[to]) + 1e-6
+            near = np.bitwise_count(short[at] ^ short[to]).sum(axis=1) <= most
+            at, to = at[near], to[near]
+        heads.append(at)
+        tails.append(to)
+        held += len(at)
         if held >= HELD_PAIRS:
             yield np.concatenate(heads), np.concatenate(tails)
             heads, tails, held = [], [], 0
@@ -177,11 +185,11 @@ def offered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, apart: np.n
 
 
 def bucket_pairs(keyed: DataFrame, high: int, before: int) -> DataFrame:
-    """(key, n, p, a, b) from (key, n, p, node, component, rank): candidates with key null, of different components, up to
+    """(key, n, p, a, b) from (key, n, p, node, component, rank, short): candidates with key null, of different components, up to
     ``high`` places apart in their bucket and more than ``before`` by the ranks they had in it the last time; and, with a
     key, the nodes a that may have partners further away, and their ranks b."""
 
-    def emit(keys, sizes, places, nodes, groups, ranks):
+    def emit(keys, sizes, places, nodes, groups, ranks, short):
         names = ["key", "n", "p", "a", "b"]
 
         def batch(a, b):
@@ -189,7 +197,7 @@ def bucket_pairs(keyed: DataFrame, high: int, before: int) -> DataFrame:
             none = pa.nulls(pairs.shape[1], pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[0]), pa.array(pairs[1])], names=names)
 
-        for a, b in offered(keys, sizes, places, groups, ranks, before, range(1, high + 1)):
+        for a, b in offered(keys, sizes, places, groups, ranks, short, before, range(1, high + 1)):
             yield batch(a, b)
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         of = np.diff(np.concatenate((starts, [len(keys)])))
@@ -201,7 +209,7 @@ def bucket_pairs(keyed: DataFrame, high: int, before: int) -> DataFrame:
         first = np.searchsorted(bucket + sizes, bucket + np.ceil(SIMILARITY * sizes - 1e-6).astype(np.int64))
         late = np.flatnonzero((size > max(high, SMALL)) & ((last - place > high) | (place - first > high)))
         small = np.flatnonzero(size <= SMALL)  # these are done at once
-        for a, b in offered(keys[small], sizes[small], places[small], groups[small], ranks[small], before, range(high + 1, SMALL)):
+        for a, b in offered(keys[small], sizes[small], places[small], groups[small], ranks[small], short[small], before, range(high + 1, SMALL)):
             yield batch(small[a], small[b])
         kept = [x[late] for x in (keys, sizes, places, nodes, place - np.repeat(starts, of))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=names)
@@ -211,7 +219,9 @@ def bucket_pairs(keyed: DataFrame, high: int, before: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([c.to_numpy() for c in batch.columns])
+            bits = batch.column(6)
+            bits = np.zeros((len(bits), 0), np.uint64) if bits.null_count else np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), -1)
+            held.append([*[c.to_numpy() for c in batch.columns[:6]], bits])
             rows += batch.num_rows
             if rows < 1 << 18 or held[0][0][0] == held[-1][0][-1]:
                 continue
@@ -222,7 +232,7 @@ def bucket_pairs(keyed: DataFrame, high: int, before: int) -> DataFrame:
         if held:
             yield from emit(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
-    sorted_ = keyed.select("key", "n", "p", "node", "component", "rank").repartition("key").sortWithinPartitions("key", "n", "node")
+    sorted_ = keyed.select("key", "n", "p", "node", "component", "rank", "short").repartition("key").sortWithinPartitions("key", "n", "node")
     return sorted_.mapInArrow(run, "key bigint, n bigint, p bigint, a bigint, b bigint")
 
 
@@ -298,7 +308,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alike = alike.union(verified(seen, rows, texts))
     groups = components(alike)
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("p", "key")).select("key", "n", F.col("p").cast("long").alias("p"), "node")
-    keyed = with_component(keyed, groups).withColumn("rank", F.lit(0).cast("long"))
+    keyed = with_component(keyed, groups).withColumn("rank", F.lit(0).cast("long")).withColumn("short", F.lit(None).cast("binary"))
     high, before = STEPS, -1
     while True:
         found = written(bucket_pairs(keyed, high, before), "near-buckets")
@@ -311,7 +321,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
         late = with_component(found.where("key is not null").select("key", "n", "p", F.col("a").alias("node"), F.col("b").alias("rank")), groups)
         mixed = late.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-        keyed = written(late.join(mixed.select("key"), "key"), "near-open")
+        short = rows.select(F.col("row").alias("node"), "short")
+        keyed = written(late.join(mixed.select("key"), "key").join(short, "node"), "near-open")
         discard(found)
         left = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
         if left.c is None:
