@@ -19,7 +19,7 @@ again are the text.
 A repeat within one document counts like one between documents. Null and empty texts have no runs. Rows are
 told apart by their place in their file (:func:`common.located`), so rows that share an id, or have none, are
 documents of their own, and of equal rows one keeps its runs. A null id comes first. Other columns are
-ignored by :func:`repeats` and passed through by :func:`remove_spans`, whose outputs replace columns of their names.
+ignored by :func:`repeats` and passed through by :func:`deduplicated`, whose outputs replace columns of their names.
 """
 
 from __future__ import annotations
@@ -127,13 +127,17 @@ class Cut:
         before = np.searchsorted(self.text, self.text[ok])  # the first sentence of its text
         return self.text[ok], ok - before, last - ok + 1, np.frombuffer(found, "<i8").reshape(-1, 2)
 
-    def parts(self) -> list[bytes]:
-        """The sentences of the only text, each with the white space after it."""
-        whole = self.data[:-1]
-        if not len(self.end):
-            return [whole] if whole else []
-        at = [0, *self.starts[self.first[1:]].tolist(), len(whole)]
-        return [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
+    def counts(self) -> np.ndarray:
+        """The number of sentences of each text; white space alone is one."""
+        some = np.diff(self.begins) > 1
+        return np.maximum(np.bincount(self.text, minlength=len(some)), some)
+
+    def parts(self, i: int = 0) -> list[bytes]:
+        """The sentences of a text, each with the white space after it."""
+        begin, end = int(self.begins[i]), int(self.begins[i + 1]) - 1
+        a, b = np.searchsorted(self.text, (i, i + 1))
+        at = [begin, *self.starts[self.first[a + 1 : b]].tolist(), end] if end > begin else []
+        return [self.data[x:y] for x, y in zip(at, at[1:], strict=False)]
 
 
 def sentences(text: str) -> list[str]:
@@ -186,15 +190,15 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that lose sentences: their columns, with the text that is left, n_sentences, n_removed
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document: its columns, with the text that is left (as it was where nothing repeats), n_sentences, n_removed
     and removed (begin and end character of each stretch taken out of the original text)."""
     bounded_batches(docs.sparkSession)
     placed = located(docs)
     spans = repeats(placed, id_col, text_col).groupBy("_file", "_row").agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
     rest = [c for c in docs.columns if c != text_col]
     own = F.struct(F.lit(0).alias("_"), *[F.col("_doc")[c].alias(c) for c in rest]).alias("_rest")
-    hit = placed.join(spans, ["_file", "_row"]).select(own, "_spans", F.col("_doc")[text_col].cast("string").alias("_whole"))
+    every = placed.join(spans, ["_file", "_row"], "left").select(own, "_spans", F.col("_doc")[text_col].cast("string").alias("_whole"))
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [
         T.StructField("_text", T.StringType()),
@@ -202,26 +206,37 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         T.StructField("n_removed", T.IntegerType()),
         T.StructField("removed", span),
     ]
-    schema = T.StructType([hit.schema["_rest"], *fields])
+    schema = T.StructType([every.schema["_rest"], *fields])
     kinds = [to_arrow(f.dataType) for f in fields]
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "_whole"):
-                out = [cut_out(text, spans) for spans, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                made = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
+            for part in chunks(batch, "_whole", 1 << 20):
+                texts = part.column(2).cast(pa.binary()).to_pylist()
+                cut = Cut([t or b"" for t in texts])
+                gone, stretches = [0] * len(texts), [[] for _ in texts]
+                for i, spans in enumerate(part.column(1).to_pylist()):
+                    if spans:
+                        texts[i], gone[i], stretches[i] = cut_out(cut.parts(i), spans)
+                made = [texts, cut.counts().astype(np.int32), gone, stretches]
+                made = [pa.array(x, kind) for x, kind in zip(made, [pa.binary(), *kinds[1:]], strict=True)]
+                made[0] = made[0].cast(kinds[0])
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=schema.names)
 
-    done = hit.mapInArrow(run, schema)
+    done = every.mapInArrow(run, schema)
     outputs = {"n_sentences", "n_removed", "removed"}
     kept = [F.col("_text").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns if c.lower() not in outputs]
     return done.select(*kept, "n_sentences", "n_removed", "removed")
 
 
-def cut_out(text: str, spans: list[dict]) -> tuple[str, int, int, list[dict]]:
-    """The text without the sentences of some spans, how many it had and lost, and the stretches taken out."""
-    parts = sentences(text)
-    starts = [0, *itertools.accumulate(map(len, parts))]
+def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of :func:`deduplicated`, the documents that lose sentences."""
+    return deduplicated(docs, id_col, text_col).where("n_removed > 0")
+
+
+def cut_out(parts: list[bytes], spans: list[dict]) -> tuple[bytes, int, list[dict]]:
+    """What is left of a text's sentences without those of some spans, how many went, and the stretches taken out."""
+    starts = [0, *itertools.accumulate(len(p.decode()) for p in parts)]
     gone = covered([(s["at"], s["n"]) for s in spans])
     left, at = [], 0
     for a, b in gone:
@@ -229,9 +244,9 @@ def cut_out(text: str, spans: list[dict]) -> tuple[str, int, int, list[dict]]:
         at = b
     left += parts[at:]
     stretches = [{"begin": starts[a], "end": starts[b]} for a, b in gone]
-    return "".join(left), len(parts), sum(b - a for a, b in gone), stretches
+    return b"".join(left), sum(b - a for a, b in gone), stretches
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_spans(docs)
+    return deduplicated(docs)

@@ -145,3 +145,22 @@ def test_removed_stretches_name_what_went(spark):
     cut = "".join(original[s.begin : s.end] for s in row.removed)
     assert row.doc_id == 2 and len(row.text) + len(cut) == len(original) and row.text == "Before it all. After it all."
     assert S.remove_spans(docs.limit(0)).collect() == []
+
+
+def test_query_gives_every_document(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = S.op3_query(spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    assert all(r.text == docs[r.doc_id] and not r.removed for r in out if not r.n_removed)
+    assert all(r.n_sentences == len(S.sentences(docs[r.doc_id] or "")) for r in out)
+
+
+def test_documents_that_lose_nothing_come_out_as_they_were(spark):
+    passage = "one two three four five six seven. eight nine ten eleven twelve thirteen. a b c d e f g h i j. k l m n."
+    rows = [(1, passage), (2, "Before é it all. " + passage + " After."), (3, "x "), (3, None), (None, ""), (5, " \n "), (5, "One. Two\n three ")]
+    out = S.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.n_sentences == len(S.sentences({1: passage, 2: rows[1][1]}.get(r.doc_id, r.text or ""))) for r in out)
+    assert sorted((r.doc_id or 0, r.text or "", r.text is None, r.n_removed > 0) for r in out) == [
+        (0, "", False, False), (1, passage, False, False), (2, "Before é it all. After.", False, True), (3, "", True, False),
+        (3, "x ", False, False), (5, " \n ", False, False), (5, "One. Two\n three ", False, False),
+    ]
