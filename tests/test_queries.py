@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievelake.operators import hybrid
@@ -140,3 +141,16 @@ def test_bm25_matches_a_plain_ranking(spark, monkeypatch, block):
     assert {r[:3] for r in got} == {r[:3] for r in want}
     assert all(abs(a[3] - b[3]) < 2e-9 for a, b in zip(*[sorted(x, key=lambda r: r[:2]) for x in (got, want)], strict=True))
     assert hybrid.bm25(spark.createDataFrame(asked, "task_id string, query string"), docs.limit(0), 6).collect() == []
+
+
+def test_a_task_passes_on_k_documents_per_query_at_most():
+    """However many documents hold the words that a hybrid search asks for."""
+    block = hybrid.Block([("x", ["a", "b"]), ("y", ["b"]), ("z", ["c"])])
+    rows = [["a", "b", "a"][: i % 3 + 1] for i in range(600)]
+    counted = block.count(pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(rows)], names=["doc_id", "w"]))
+    assert [sum(counted["ids"].to_pylist(), []).count(i) for i in range(3)] == [600, 400, 0]
+    block.weigh(600, 2.0, {0: 600, 1: 400})
+    lens = pa.array([[n] * len(ids) for n, ids in zip(counted["len"].to_pylist(), counted["ids"].to_pylist(), strict=True)])
+    posts = pa.RecordBatch.from_arrays([counted["doc_id"], counted["ids"], counted["tfs"], lens], names=["doc_id", "ids", "tfs", "lens"])
+    query, _, doc, score = block.best(iter([posts.slice(0, 300), posts.slice(300)]), 4)
+    assert query.tolist() == [0] * 4 + [1] * 4 and doc.tolist() == [1, 4, 7, 10] * 2 and (score > 0).all()
