@@ -98,14 +98,17 @@ def fold(column: str, n: int) -> Column:
 SAMPLE_BYTES = 64 << 20
 
 
-def spread_sample(rows: DataFrame, id_col: str, most: int, text_col: str = "text") -> list[Row]:
+def spread_sample(rows: DataFrame, id_col: str, most: int, text_col: str = "text", sizes: DataFrame | None = None) -> list[Row]:
     """At most ``most`` rows and about ``SAMPLE_BYTES`` of text, chosen by a hash of the id and in an order given by it,
     on the driver.
 
     The share that is taken follows from the counts, some less than ``most`` rows, so the limit, which
-    keeps the bound, hardly ever cuts.
+    keeps the bound, hardly ever cuts. Where ``rows`` come from a join, ``sizes`` has the same rows with the bytes of the
+    text as column ``bytes`` only, so that no texts are shuffled to count them.
     """
-    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    if sizes is None:
+        sizes = rows.select(F.octet_length(text_col).alias("bytes"))
+    n, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     if n > most or size > SAMPLE_BYTES:
         part = int(min(0.9 * most / n, SAMPLE_BYTES / max(size, 1)) * 2**20)
         rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string")), F.lit(2**20)) < part)

@@ -296,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``most`` labelled rows: ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text)."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").join(marked, "doc_id")
-    return train([(r.text or "", r.toxic) for r in spread_sample(rows, "doc_id", most)])
+    sizes = docs.select("doc_id", F.octet_length("text").alias("bytes")).join(marked, "doc_id")
+    return train([(r.text or "", r.toxic) for r in spread_sample(rows, "doc_id", most, sizes=sizes)])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -100,3 +100,24 @@ def test_the_landmark_matrix_is_a_kernel_matrix():
     square = T.Landmarks(words).gram()
     assert np.allclose(np.diag(square), 1) and np.linalg.eigvalsh(square).min() > -1e-6
     assert square[0, 1] > square[0, 3] >= 0 and square[0, 1] > 0.5
+
+
+def test_counting_the_sample_reads_sizes_not_texts(spark, monkeypatch):
+    """The join that counts the labelled rows has no texts in it, and the sample is the one that counting them gives."""
+    seen = []
+
+    def sample(rows, id_col, most, *more, **named):
+        seen.append((rows, named.get("sizes")))
+        return T_sample(rows, id_col, most, *more, **named)
+
+    T_sample = T.spread_sample
+    monkeypatch.setattr(T, "spread_sample", sample)
+    docs = spark.createDataFrame([(i, None if i == 7 else f"text é {i} " * (i % 5)) for i in range(300)] + [(5, "again")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(0, 400, 2)] + [(6, True), (None, True)], "doc_id bigint, toxic boolean")
+    T.fit(docs, labels.selectExpr("doc_id", "cast(toxic as int) as toxic"), 40)
+    ((rows, sizes),) = seen
+    assert sizes is not None and "text" not in sizes.columns
+    count = lambda df, size: df.selectExpr("count(1)", f"sum({size})").first()
+    assert tuple(count(sizes, "bytes")) == tuple(count(rows, "octet_length(text)"))
+    got = [tuple(r) for r in T_sample(rows, "doc_id", 40, sizes=sizes)]
+    assert 0 < len(got) <= 40 and got == [tuple(r) for r in T_sample(rows, "doc_id", 40)]
