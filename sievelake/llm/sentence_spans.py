@@ -2,7 +2,7 @@ r"""Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences; from every sentence on, the shortest run of consecutive sentences that
 has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed (128 bits, over the words,
-so white space doesn't matter). All runs of all documents are joined by hash. The first place where
+so white space doesn't matter). The runs of all documents are compared by hash. The first place where
 a run stands (smallest document id, then row, then position) keeps it; sentences that are covered by any other
 place of a repeated run are removed.
 
@@ -18,27 +18,39 @@ again are the text.
 
 A repeat within one document counts like one between documents. Null and empty texts have no runs. Rows are
 told apart by their place in their file (:func:`common.located`), so rows that share an id, or have none, are
-documents of their own, and of equal rows one keeps its runs. A null id comes first. Other columns are
-ignored by :func:`repeats` and passed through by :func:`deduplicated`, whose outputs replace columns of their names.
+documents of their own, and of equal rows one keeps its runs. A null id comes first. Other columns are passed through,
+but the outputs replace columns of their names.
+
+Runs of all texts take more room than the texts, so they are neither kept nor joined one by one. Documents that follow each other in a
+file are a block. It sends each of its different hashes once, with the smallest id that has it (:func:`sent`), and gets one
+bit back: whether another block has an earlier place (:func:`later`). Next to the texts, the runs are made
+again and the bits laid on them (:func:`deduplicated`). A run that stands everywhere comes once from each block.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, chunks, located, to_arrow, written
+from .common import bounded_batches, chunks, located, to_arrow
 
 MIN_SENTENCES = 2
 MIN_WORDS = 25
 #: Words of a sentence at most.
 LONG = 8
+#: Rows of a block at most, and bytes of its texts (one row may have more). Rows of one block have one ``_row // GROUP``.
+GROUP = 256
+TOGETHER = 2 << 20
+#: Buckets of hashes at least, and bytes of text for each; more text gets more buckets.
+BUCKETS = 1024
+BUCKET_BYTES = 64 << 20
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -125,7 +137,7 @@ class Cut:
         spans = zip(offsets[self.first[ok]].tolist(), (offsets[self.end[last]] - 1).tolist(), strict=True)
         found = b"".join([digest(joined[a:b]) for a, b in spans])
         before = np.searchsorted(self.text, self.text[ok])  # the first sentence of its text
-        return self.text[ok], ok - before, last - ok + 1, np.frombuffer(found, "<i8").reshape(-1, 2)
+        return self.text[ok], ok - before, last - ok + 1, np.frombuffer(found, "<u8").reshape(-1, 2)
 
     def counts(self) -> np.ndarray:
         """The number of sentences of each text; white space alone is one."""
@@ -145,38 +157,100 @@ def sentences(text: str) -> list[str]:
     return [p.decode() for p in Cut([text.encode()]).parts()]
 
 
-def hashed_runs(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, _file, _row, at, n, h1, h2) of every run of every document."""
-    rows = placed.select(F.col("_doc")[id_col].cast("long").alias("doc"), "_file", "_row", F.col("_doc")[text_col].cast("string").alias("text"))
-    names = ["doc", "_file", "_row", "at", "n", "h1", "h2"]
+def numbers(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy()
+
+
+def blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into pieces that may be blocks: following rows of one group of one file."""
+    file, row = numbers(batch, "_file"), numbers(batch, "_row")
+    other = (file[1:] != file[:-1]) | (row[1:] // GROUP != row[:-1] // GROUP) | (row[1:] <= row[:-1])
+    for a, b in itertools.pairwise([0, *(np.flatnonzero(other) + 1).tolist(), len(row)]):
+        yield from chunks(batch.slice(a, b - a), text, TOGETHER)
+
+
+def by_hash(of: np.ndarray, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a block's runs by hash and place, and where in it each different hash begins."""
+    rank = np.empty(len(ids), np.uint16)
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((rank[of], h[:, 1], h[:, 0]))  # keeps the order of the runs of one text
+    h = h[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h[1:] != h[:-1]).any(axis=1)
+    return order, np.flatnonzero(new)
+
+
+def bucket_count(placed: DataFrame, text_col: str) -> int:
+    """A power of two."""
+    size = placed.agg(F.sum(F.octet_length(F.col("_doc")[text_col].cast("string")))).first()[0] or 0
+    return max(BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
 
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
-                of, at, n, h = Cut([t or b"" for t in part.column(3).cast(pa.binary()).to_pylist()]).runs()
-                of, own = pa.array(of), (at.astype(np.int32), n.astype(np.int32), h[:, 0].copy(), h[:, 1].copy())
-                yield pa.RecordBatch.from_arrays([*[c.take(of) for c in part.columns[:3]], *map(pa.array, own)], names=names)
 
-    return rows.mapInArrow(run, "doc bigint, _file bigint, _row bigint, at int, n int, h1 bigint, h2 bigint")
+def no_id_first(id_col: str) -> Column:
+    return F.coalesce(F.col("_doc")[id_col].cast("long"), F.lit(-(2**63))).alias("_id")
 
 
-def repeats(placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_file, _row, at, n) of every place of a repeated run but the first, in rows with their locators.
+def sent(placed: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Of every block, by bucket, its different hashes in order and the smallest id of each, as bytes.
 
-    The runs are made twice rather than kept: as a table they would take more room than the texts. First they are
-    counted, with nothing but the smallest id; only the places of repeated runs are told apart any further.
+    Ids are written as what they exceed ``least`` by, in ``width`` bytes.
     """
-    low = F.coalesce("doc", F.lit(-(2**63))).alias("doc")  # no id comes first
-    counted = hashed_runs(placed, id_col, text_col).select("h1", "h2", low).groupBy("h1", "h2")
-    several = counted.agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("places")).where("places > 1").select("h1", "h2", "least")
-    # as a table, so that the join has a plain exchange on either side and a hot run can be split
-    several = written(several, "repeated-runs")
-    places = hashed_runs(placed, id_col, text_col).select("h1", "h2", low, "_file", "_row", "at", "n")
-    places = written(places.join(several, ["h1", "h2"]), "repeated-places")
-    here = F.struct("_file", "_row", "at")
-    first = written(places.where("doc = least").groupBy("h1", "h2").agg(F.min(here).alias("first")), "first-places")
-    is_first = (F.col("doc") == F.col("least")) & here.eqNullSafe(F.col("first"))
-    return places.join(first, ["h1", "h2"]).where(~is_first).select("_file", "_row", "at", "n")
+    rows = placed.select(no_id_first(id_col), "_file", "_row", F.col("_doc")[text_col].cast("string").alias("text"))
+    names = ["bucket", "_file", "_row", "_last", "least", "width", "hashes", "ids"]
+    shift = np.uint64(65 - buckets.bit_length())
+
+    def run(batches):
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                own, row = numbers(part, "_id"), numbers(part, "_row")
+                of, _, _, h = Cut([t or b"" for t in part.column(3).cast(pa.binary()).to_pylist()]).runs()
+                if not len(of):
+                    continue
+                order, begin = by_hash(of, h, own)
+                h, ids = h[order[begin]], own[of[order[begin]]]
+                least = ids.min()
+                more = (ids - least).view(np.uint64)
+                width = max(1, (int(more.max()).bit_length() + 7) // 8)
+                bucket = (h[:, 0] >> shift).astype(np.int32)
+                edges = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)])).astype(np.int32)
+                n = len(edges) - 1
+                same = [np.full(n, x, np.int64) for x in (numbers(part, "_file")[0], row[0], row[-1], least)]
+                kinds = ((16, h.tobytes()), (width, more.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()))
+                data = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges * np.int32(k)), pa.py_buffer(x)]) for k, x in kinds]
+                made = [pa.array(x) for x in (bucket[edges[:-1]], *same, np.full(n, width, np.int32))]
+                yield pa.RecordBatch.from_arrays([*made, *data], names=names)
+
+    return rows.mapInArrow(run, "bucket int, _file bigint, _row bigint, _last bigint, least bigint, width int, hashes binary, ids binary")
+
+
+def later(runs: DataFrame) -> DataFrame:
+    """Of every block and bucket: a bit for each of its hashes, set if another block has an earlier place."""
+
+    def run(table):
+        hashes, width = table.column("hashes").to_pylist(), numbers(table, "width")
+        sizes = np.array([len(x) // 16 for x in hashes])
+        h = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+        more = np.zeros((len(h), 8), np.uint8)
+        ids = table.column("ids").to_pylist()
+        for w in np.unique(width).tolist():
+            some = b"".join([x for x, of in zip(ids, width.tolist(), strict=True) if of == w])
+            more[np.repeat(width == w, sizes), :w] = np.frombuffer(some, np.uint8).reshape(-1, w)
+        ids = more.view("<u8")[:, 0].view("<i8") + np.repeat(numbers(table, "least"), sizes)
+        block = np.empty(len(sizes), np.int32)
+        block[np.lexsort((numbers(table, "_row"), numbers(table, "_file")))] = np.arange(len(sizes))
+        block = np.repeat(block, sizes)
+        # only hashes that share a half need to be ordered any further
+        some = np.argsort(h[:, 0])
+        twin = h[some[1:], 0] == h[some[:-1], 0]
+        some = some[np.concatenate((twin, [False])) | np.concatenate(([False], twin))]
+        some = some[np.lexsort((block[some], ids[some], h[some, 1], h[some, 0]))]
+        bits = np.zeros(len(h), bool)
+        bits[some[1:]] = (h[some[1:]] == h[some[:-1]]).all(axis=1)
+        ends = np.cumsum(sizes)
+        made = [np.packbits(bits[a:b]).tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        return table.select(["_file", "_row", "_last", "bucket"]).append_column("bits", pa.array(made, pa.binary()))
+
+    return runs.groupBy("bucket").applyInArrow(run, "_file bigint, _row bigint, _last bigint, bucket int, bits binary")
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -190,15 +264,35 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def removed_runs(cut: Cut, ids: np.ndarray, bits: dict[int, bytes], buckets: int) -> dict[int, list[tuple[int, int]]]:
+    """(first sentence, sentences) of the runs that go, by text of a block, from the bits of its buckets."""
+    of, at, n, h = cut.runs()
+    if not len(of):
+        return {}
+    order, begin = by_hash(of, h, ids)
+    bucket, sizes = np.unique(h[order[begin], 0] >> np.uint64(65 - buckets.bit_length()), return_counts=True)
+    gone = np.ones(len(of), bool)  # of places in one block only the first may stay
+    gone[order[begin]] = np.concatenate(
+        [np.unpackbits(np.frombuffer(bits[b], np.uint8), count=k) for b, k in zip(bucket.tolist(), sizes.tolist(), strict=True)]
+    )
+    of, at, n = of[gone], at[gone], n[gone]
+    edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else []
+    return {int(of[a]): list(zip(at[a:b].tolist(), n[a:b].tolist(), strict=True)) for a, b in itertools.pairwise(edges)}
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document: its columns, with the text that is left (as it was where nothing repeats), n_sentences, n_removed
     and removed (begin and end character of each stretch taken out of the original text)."""
     bounded_batches(docs.sparkSession)
     placed = located(docs)
-    spans = repeats(placed, id_col, text_col).groupBy("_file", "_row").agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
+    buckets = bucket_count(placed, text_col)
     rest = [c for c in docs.columns if c != text_col]
     own = F.struct(F.lit(0).alias("_"), *[F.col("_doc")[c].alias(c) for c in rest]).alias("_rest")
-    every = placed.join(spans, ["_file", "_row"], "left").select(own, "_spans", F.col("_doc")[text_col].cast("string").alias("_whole"))
+    rows = placed.select("_file", "_row", no_id_first(id_col), own, F.col("_doc")[text_col].cast("string").alias("_whole"))
+    # the bits of a block come just before its documents
+    every = rows.unionByName(later(sent(placed, id_col, text_col, buckets)), allowMissingColumns=True)
+    every = every.withColumn("_group", F.expr(f"_row div {GROUP}")).repartition("_file", "_group")
+    every = every.sortWithinPartitions("_file", "_row", F.col("_last").asc_nulls_last())
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [
         T.StructField("_text", T.StringType()),
@@ -209,19 +303,47 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([every.schema["_rest"], *fields])
     kinds = [to_arrow(f.dataType) for f in fields]
 
+    def cut_block(block, bits):
+        texts = block.column("_whole").cast(pa.binary()).to_pylist()
+        cut = Cut([t or b"" for t in texts])
+        gone, stretches = [0] * len(texts), [[] for _ in texts]
+        for i, spans in removed_runs(cut, numbers(block, "_id"), bits, buckets).items():
+            texts[i], gone[i], stretches[i] = cut_out(cut.parts(i), spans)
+        made = [texts, cut.counts().astype(np.int32), gone, stretches]
+        made = [pa.array(x, kind) for x, kind in zip(made, [pa.binary(), *kinds[1:]], strict=True)]
+        made[0] = made[0].cast(kinds[0])
+        return pa.RecordBatch.from_arrays([block.column("_rest").combine_chunks(), *made], names=schema.names)
+
     def run(batches):
+        key, bits, held = None, {}, []  # of the block at hand
+
+        def whole():
+            if held:
+                yield cut_block(pa.Table.from_batches(held), bits)
+                held.clear()
+
         for batch in batches:
-            for part in chunks(batch, "_whole", 1 << 20):
-                texts = part.column(2).cast(pa.binary()).to_pylist()
-                cut = Cut([t or b"" for t in texts])
-                gone, stretches = [0] * len(texts), [[] for _ in texts]
-                for i, spans in enumerate(part.column(1).to_pylist()):
-                    if spans:
-                        texts[i], gone[i], stretches[i] = cut_out(cut.parts(i), spans)
-                made = [texts, cut.counts().astype(np.int32), gone, stretches]
-                made = [pa.array(x, kind) for x, kind in zip(made, [pa.binary(), *kinds[1:]], strict=True)]
-                made[0] = made[0].cast(kinds[0])
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=schema.names)
+            docs = batch.column(batch.schema.get_field_index("_last")).is_null().to_numpy(zero_copy_only=False)
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(docs[1:] != docs[:-1]) + 1).tolist(), len(docs)]):
+                part = batch.slice(a, b - a)
+                if not docs[a]:
+                    columns = [part.column(c).to_pylist() for c in ("_file", "_row", "_last", "bucket", "bits")]
+                    for *place, bucket, some in zip(*columns, strict=True):
+                        if place != key:
+                            yield from whole()
+                            key, bits = place, {}
+                        bits[bucket] = some
+                    continue
+                file, row = numbers(part, "_file"), numbers(part, "_row")
+                # rows that belong to the block come first; what follows without bits has no runs
+                n = int(((file == key[0]) & (row <= key[2])).sum()) if key else 0
+                if n:
+                    held.append(part.slice(0, n))
+                if n < len(row):
+                    yield from whole()
+                    for piece in blocks(part.slice(n), "_whole"):
+                        yield cut_block(pa.Table.from_batches([piece]), {})
+        yield from whole()
 
     done = every.mapInArrow(run, schema)
     outputs = {"n_sentences", "n_removed", "removed"}
@@ -234,10 +356,10 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return deduplicated(docs, id_col, text_col).where("n_removed > 0")
 
 
-def cut_out(parts: list[bytes], spans: list[dict]) -> tuple[bytes, int, list[dict]]:
+def cut_out(parts: list[bytes], spans: list[tuple[int, int]]) -> tuple[bytes, int, list[dict]]:
     """What is left of a text's sentences without those of some spans, how many went, and the stretches taken out."""
     starts = [0, *itertools.accumulate(len(p.decode()) for p in parts)]
-    gone = covered([(s["at"], s["n"]) for s in spans])
+    gone = covered(spans)
     left, at = [], 0
     for a, b in gone:
         left += parts[at:a]

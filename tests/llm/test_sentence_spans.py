@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -5,6 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from sievelake.llm import sentence_spans as S
+from sievelake.llm.common import shared_dir
 
 
 
@@ -164,3 +166,45 @@ def test_documents_that_lose_nothing_come_out_as_they_were(spark):
         (0, "", False, False), (1, passage, False, False), (2, "Before é it all. After.", False, True), (3, "", True, False),
         (3, "x ", False, False), (5, " \n ", False, False), (5, "One. Two\n three ", False, False),
     ]
+
+
+def bytes_under(path):
+    return sum(os.path.getsize(os.path.join(where, f)) for where, _, files in os.walk(path) for f in files)
+
+
+def test_disk_stays_within_its_budget_even_if_nothing_is_cleaned(spark, tmp_path):
+    """All that is shuffled or written to the shared folder, against four times an input of documents and their copies."""
+    once = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    once.union(once.selectExpr("doc_id + 1000000", "text")).coalesce(1).write.parquet(str(tmp_path / "d"))
+    shared = shared_dir(spark).removeprefix("file://")
+
+    def used():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return bytes_under(shared) + spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = used()
+    S.deduplicated(spark.read.parquet(str(tmp_path / "d"))).write.format("noop").mode("overwrite").save()
+    times = (used() - before) / bytes_under(tmp_path / "d")
+    assert 1 < times < 4
+
+
+def test_places_in_many_blocks_match_brute_force(spark, tmp_path):
+    """Rows of one id in several blocks, extreme ids, and tasks that begin within a block's group of rows."""
+    rng = random.Random(8)
+    passages = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" + "." * (i % 9 == 8) for i in range(40)) for _ in range(60)]
+    ids = [None, -(2**63) + 1, -1, 0, 1, 300, 70_000, 2**63 - 1]
+    rows = [(rng.choice(ids), f"Row {k} {k * k}. {rng.choice(passages)} {rng.choice(passages)}") for k in range(900)]
+    rows[400:560] = [(7, None if k % 2 else "Short.") for k in range(160)]
+    docs = spark.createDataFrame([(*r, str(k)) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    docs.coalesce(1).write.option("parquet.block.size", 20_000).option("parquet.page.size.row.check.min", 10).parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        read = spark.read.parquet(str(tmp_path / "d"))
+        every = S.deduplicated(read)
+        assert read.rdd.getNumPartitions() > 4
+        got = {int(r.lang): r for r in every.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = brute(rows)
+    assert {k: r.text.split() for k, r in got.items() if r.n_removed} == want
+    assert all(r.text == rows[k][1] for k, r in got.items() if k not in want) and len(got) == len(rows)
